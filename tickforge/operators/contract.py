@@ -107,7 +107,7 @@ def violations() -> Column:
     vol = _v("volume", "double")
     checks.append(("volume", F.when(missing("volume"), "MISSING_FIELD").when(vol.isNull() | (vol != F.floor(vol)), "WRONG_TYPE").when(vol < 0, "NEGATIVE_VOLUME")))
     checks.append(("source", F.when(~missing("source") & (_kind("source") != "STRING"), "UNKNOWN")))
-    stamp = F.to_timestamp(F.lit(None)) if False else F.try_to_timestamp(_v("event_ts", "string"))
+    stamp = F.try_to_timestamp(_v("event_ts", "string"))
     checks.append(("event_ts", F.when(~missing("event_ts") & stamp.isNull(), "UNKNOWN")))
     extra = F.array_size(F.array_except(F.json_object_keys("raw_payload"), F.array(*[F.lit(c) for c in DECLARED]))) > 0
     checks.append(("<extra>", F.when(extra, "WRONG_TYPE")))
