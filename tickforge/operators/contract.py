@@ -82,6 +82,11 @@ def payloads(bars: DataFrame) -> DataFrame:
 # -- verdicts ---------------------------------------------------------------------------------------------------
 
 
+def _once(df: DataFrame, name: str, value: Column) -> DataFrame:
+    """Add a column that is computed once: the optimiser doesn't copy a generated column into each place that uses it."""
+    return df.select("*", F.explode(F.array(value)).alias(name))
+
+
 def _v(name: str, kind: str) -> Column:
     return F.expr(f"try_variant_get(__v, '$.{name}', '{kind}')")
 
@@ -90,42 +95,54 @@ def _kind(name: str) -> Column:
     return F.expr(f"schema_of_variant(variant_get(__v, '$.{name}', 'variant'))")
 
 
-def violations() -> Column:
-    """Array of (field, reason) over the column ``__v``, in contract order."""
+def _cells() -> Column:
+    """Kind and value of each field of the column ``__v``."""
+    kinds = [_kind(f).alias(f"k_{f}") for f in DECLARED]
+    texts = [_v(f, "string").alias(f"s_{f}") for f in ("ticker", "trade_date", "event_ts")]
+    numbers = [_v(f, "double").alias(f"n_{f}") for f in ("open", "high", "low", "close", "adj_close", "volume")]
+    extra = F.array_size(F.array_except(F.json_object_keys("raw_payload"), F.array(*[F.lit(c) for c in DECLARED]))) > 0
+    return F.struct(*kinds, *texts, *numbers, extra.alias("extra"))
+
+
+def _field_violations() -> Column:
+    """Array of (field, reason) over the column ``__f``, in contract order."""
+    f_ = lambda n: F.col(f"__f.{n}")
+    missing = lambda f: f_(f"k_{f}").isNull()
     checks: list[tuple[str, Column]] = []
-    missing = lambda f: _kind(f).isNull()
-    symbol = F.upper(strip(_v("ticker", "string")))
-    checks.append(("ticker", F.when(missing("ticker"), "MISSING_FIELD").when((_kind("ticker") != "STRING") | ~F.coalesce(symbol.rlike(TICKER_PATTERN), F.lit(False)), "INVALID_TICKER")))
-    day = _v("trade_date", "string")
+    symbol = F.upper(strip(f_("s_ticker")))
+    checks.append(("ticker", F.when(missing("ticker"), "MISSING_FIELD").when((f_("k_ticker") != "STRING") | ~F.coalesce(symbol.rlike(TICKER_PATTERN), F.lit(False)), "INVALID_TICKER")))
+    day = f_("s_trade_date")
     date = F.when(day.rlike(r"^\d{4}-\d{2}-\d{2}(T00:00(:00(\.0+)?)?(Z|\+00:00)?)?\z"), F.try_to_date(F.substring(day, 1, 10), "yyyy-MM-dd"))
     checks.append(("trade_date", F.when(missing("trade_date"), "MISSING_FIELD").when(date.isNull(), "INVALID_TIMESTAMP").when(date > F.current_date(), "FUTURE_DATED")))
     for f in ("open", "high", "low", "close", "adj_close"):
-        x = _v(f, "double")
+        x = f_(f"n_{f}")
         bad = F.when(x.isNull(), "WRONG_TYPE").when(F.isnan(x) | (x <= 0), "NON_POSITIVE_PRICE")
-        skip = missing(f) | (_kind(f) == "VOID")
+        skip = missing(f) | (f_(f"k_{f}") == "VOID")
         checks.append((f, F.when(~skip, bad) if f == "adj_close" else F.when(missing(f), "MISSING_FIELD").otherwise(bad)))
-    vol = _v("volume", "double")
+    vol = f_("n_volume")
     checks.append(("volume", F.when(missing("volume"), "MISSING_FIELD").when(vol.isNull() | (vol != F.floor(vol)), "WRONG_TYPE").when(vol < 0, "NEGATIVE_VOLUME")))
-    checks.append(("source", F.when(~missing("source") & (_kind("source") != "STRING"), "UNKNOWN")))
-    stamp = F.try_to_timestamp(_v("event_ts", "string"))
-    checks.append(("event_ts", F.when(~missing("event_ts") & stamp.isNull(), "UNKNOWN")))
-    extra = F.array_size(F.array_except(F.json_object_keys("raw_payload"), F.array(*[F.lit(c) for c in DECLARED]))) > 0
-    checks.append(("<extra>", F.when(extra, "WRONG_TYPE")))
-    found = F.array(*[F.when(r.isNotNull(), F.struct(F.lit(f).alias("field"), r.alias("reason"))) for f, r in checks])
-    listed = F.filter(found, lambda x: x.isNotNull())
-    o, h, lo, c = (_v(f, "double") for f in ("open", "high", "low", "close"))
-    crossed = (h < lo) | (h < F.greatest(o, c)) | (lo > F.least(o, c))
-    record = F.array(F.struct(F.lit("<record>").alias("field"), F.lit("OHLC_INCONSISTENT").alias("reason")))
-    return F.when((F.size(listed) == 0) & crossed, record).otherwise(listed)
+    checks.append(("source", F.when(f_("k_source") != "STRING", "UNKNOWN")))
+    checks.append(("event_ts", F.when(~missing("event_ts") & F.try_to_timestamp(f_("s_event_ts")).isNull(), "UNKNOWN")))
+    checks.append(("<extra>", F.when(f_("extra"), "WRONG_TYPE")))
+    return F.array_compact(F.array(*[F.when(r.isNotNull(), F.struct(F.lit(f).alias("field"), r.alias("reason"))) for f, r in checks]))
 
 
 def verdicts(df: DataFrame) -> DataFrame:
     """Add ``violations`` and ``reason`` (the first one; null for admitted rows) to rows with a ``raw_payload``."""
     one = lambda r: F.array(F.struct(F.lit("<record>").alias("field"), F.lit(r).alias("reason")))
-    parsed = df.withColumn("__v", F.try_parse_json("raw_payload"))
-    kind = F.schema_of_variant("__v")
-    judged = parsed.withColumn("violations", F.when(F.col("__v").isNull(), one("MALFORMED_JSON")).when(~kind.startswith("OBJECT"), one("WRONG_TYPE")).otherwise(violations()))
-    return judged.withColumn("reason", F.get("violations", F.lit(0))["reason"]).drop("__v")
+    parsed = _once(df, "__v", F.try_parse_json("raw_payload"))
+    cells = _once(parsed, "__f", _cells())
+    listed = _once(cells, "__l", _field_violations())
+    o, h, lo, c = (F.col(f"__f.n_{f}") for f in ("open", "high", "low", "close"))
+    crossed = (h < lo) | (h < F.greatest(o, c)) | (lo > F.least(o, c))
+    all_of = (
+        F.when(F.col("__v").isNull(), one("MALFORMED_JSON"))
+        .when(~F.schema_of_variant("__v").startswith("OBJECT"), one("WRONG_TYPE"))
+        .when((F.size("__l") == 0) & crossed, one("OHLC_INCONSISTENT"))
+        .otherwise(F.col("__l"))
+    )
+    judged = _once(listed, "violations", all_of)
+    return judged.withColumn("reason", F.get("violations", F.lit(0))["reason"]).drop("__v", "__f", "__l")
 
 
 def reason_counts(judged: DataFrame) -> DataFrame:

@@ -23,7 +23,8 @@ class Expectation:
     @property
     def label(self) -> str:
         a = self.args
-        return f"{self.kind}:" + ",".join(str(v) for k, v in a.items() if k in ("column", "a", "b") or k == "columns")
+        names = [a[k] for k in ("column", "a", "b") if k in a] + list(a.get("columns", ()))
+        return f"{self.kind}:" + ",".join(names)
 
 
 def _q(c: str) -> Column:

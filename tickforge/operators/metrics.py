@@ -8,22 +8,24 @@ from pyspark.sql import functions as F
 # Sessions of the short, long and yearly frame, and the tolerance of the trend.
 SHORT, LONG, YEAR, EPSILON = 7, 30, 252, 1e-9
 
-_BY = Window.partitionBy("ticker").orderBy("trade_date")
+
+def _sessions():
+    return Window.partitionBy("ticker").orderBy("trade_date")
 
 
 def _rows(n: int):
-    return _BY.rowsBetween(-(n - 1), 0)
+    return _sessions().rowsBetween(-(n - 1), 0)
 
 
 def log_returns(bars: DataFrame) -> DataFrame:
     """Add prev_close and log_return (null without a positive previous close)."""
-    prev = F.lag("close").over(_BY)
+    prev = F.lag("close").over(_sessions())
     return bars.withColumn("prev_close", prev).withColumn("log_return", F.when(F.col("prev_close") > 0, F.ln(F.col("close") / F.col("prev_close"))))
 
 
 def moving_averages(bars: DataFrame) -> DataFrame:
     out = bars.withColumn("ma_7", F.avg("close").over(_rows(SHORT))).withColumn("ma_30", F.avg("close").over(_rows(LONG)))
-    return out.withColumn("avg_volume_30d", F.avg("volume").over(_rows(LONG))).withColumn("ma_30_prev", F.lag("ma_30").over(_BY))
+    return out.withColumn("avg_volume_30d", F.avg("volume").over(_rows(LONG))).withColumn("ma_30_prev", F.lag("ma_30").over(_sessions()))
 
 
 def volatility(returns: DataFrame) -> DataFrame:

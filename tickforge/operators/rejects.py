@@ -120,7 +120,7 @@ _FLOAT_TEXT = r"^[+-]?(?:(?:[0-9]+(?:_[0-9]+)*)(?:\.(?:[0-9]+(?:_[0-9]+)*)?)?|\.
 _FLOAT_WORD = r"(?i)^[+-]?(?:inf|infinity|nan)$"
 _INT_TEXT = r"^[+-]?[0-9]+(?:_[0-9]+)*(?:\.0+)?$"
 _DATE_TEXT = r"^[0-9]{4}-[0-9]{2}-[0-9]{2}$"
-_TIME_TEXT = r"^([0-9]{4}-[0-9]{2}-[0-9]{2})[Tt _]([0-9]{2}):([0-9]{2})(?::([0-9]{2})(?:[.,]([0-9]{1,6})[0-9]{0,3})?)?\s?(Z|z|[+-][0-9]{2}:?[0-9]{2})?$"
+_TIME_TEXT = r"^([0-9]{4}-[0-9]{2}-[0-9]{2})[Tt _]([0-9]{2}):([0-9]{2})(?::([0-9]{2})(?:[.,]([0-9]{1,6})[0-9]{0,3})?)?(Z|z|[+-][0-9]{2}:?[0-9]{2})?$"
 _TIME = re.compile(_TIME_TEXT)
 
 
@@ -160,14 +160,14 @@ def _ints(kind: np.ndarray, text: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     whole = np.isin(kind, (_INT, _BOOL)) | (is_str & _matches(text, _INT_TEXT))
     ok_f, value = _floats(kind, text)
     with np.errstate(invalid="ignore"):
-        whole |= (kind == _FLOAT) & ok_f & np.isfinite(value) & (np.floor(value) == value)
+        whole |= (kind == _FLOAT) & ok_f & (np.abs(value) < 2.0**63) & (np.floor(value) == value)
     return whole, value
 
 
 def _epoch_days(kind: np.ndarray, text: pa.Array, any_time: bool) -> tuple[np.ndarray, np.ndarray]:
     """Numbers that stand for a time: seconds, or milliseconds beyond 2e10. As dates they must be at midnight."""
     ok, v = _floats(kind, text)
-    ok &= (kind != _BOOL) & ~_matches(text, r"[eE_]|inf|nan")
+    ok &= (kind != _BOOL) & ~_matches(text, r"[eE_\s]|inf|nan")
     with np.errstate(invalid="ignore"):
         s = np.where(np.abs(v) > 2e10, v / 1000, v)
         ok &= np.isfinite(s) & (s >= -62135596800) & (s < 253402300800)
@@ -188,10 +188,9 @@ def _dates(kind: np.ndarray, text: pa.Array, any_time: bool) -> tuple[np.ndarray
     """(is a date, or with ``any_time`` a point in time, by the lax reading; days since 1970)."""
     ok, days = _epoch_days(kind, text, any_time)
     is_str = kind == _STR
-    trimmed = pc.utf8_trim_whitespace(text) if any_time else text
-    plain, timed = is_str & _matches(trimmed, _DATE_TEXT), is_str & _matches(trimmed, _TIME_TEXT)
+    plain, timed = is_str & _matches(text, _DATE_TEXT), is_str & _matches(text, _TIME_TEXT)
     for i in np.flatnonzero(plain | timed):
-        s = trimmed[int(i)].as_py()
+        s = text[int(i)].as_py()
         d = _day(s[:10])
         if d is not None and timed[i]:
             _, h, m, sec, frac, zone = _TIME.match(s).groups()

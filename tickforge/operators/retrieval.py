@@ -59,7 +59,7 @@ def ranked(scores: DataFrame, k: int, positive_only: bool = False) -> DataFrame:
     top = scores.orderBy(F.col("score").desc(), "id").limit(k)
     if positive_only:
         top = top.where(F.col("score") > 0)
-    return top.withColumn("rank", F.row_number().over(Window.orderBy(F.col("score").desc(), "id")))
+    return top.withColumn("rank", F.row_number().over(Window.orderBy(F.col("score").desc(), "id")).cast("bigint"))
 
 
 def sparse_search(docs: DataFrame, query: str, k: int = TOP_K, **cols) -> DataFrame:
@@ -97,7 +97,7 @@ def fuse(rankings: dict[str, DataFrame], k: int = RRF_K) -> DataFrame:
     seen = F.array_sort(F.collect_set(F.struct("list", "name")))
     out = parts.groupBy("id").agg(F.round(F.sum(F.lit(1.0) / (F.lit(k) + F.col("pos"))), 10).alias("rrf_score"), F.min(F.struct("list", "pos")).alias("first"), F.transform(seen, lambda x: x["name"]).alias("retrievers"), *keep)
     order = Window.orderBy(F.col("rrf_score").desc(), "first.list", "first.pos")
-    return out.withColumn("final_rank", F.row_number().over(order)).drop("first")
+    return out.withColumn("final_rank", F.row_number().over(order).cast("bigint")).drop("first")
 
 
 def lexical_overlap(query: str) -> Callable[[Column], Column]:
@@ -111,7 +111,7 @@ def rerank(fused: DataFrame, texts: DataFrame, scorer: Callable[[Column], Column
     """The n best of a fused list by ``scorer``, with the rank they had before. ``texts``: id, text."""
     j = texts.join(F.broadcast(fused.select("id", F.col("final_rank").alias("before"))), "id").select("id", "before", F.coalesce(scorer(F.col("text")), F.lit(0.0)).alias("rerank_score"))
     top = j.orderBy(F.col("rerank_score").desc(), "before").limit(n)
-    return top.withColumn("final_rank", F.row_number().over(Window.orderBy(F.col("rerank_score").desc(), "before")))
+    return top.withColumn("final_rank", F.row_number().over(Window.orderBy(F.col("rerank_score").desc(), "before")).cast("bigint"))
 
 
 def moves(fused: DataFrame, reranked: DataFrame, n: int = RERANK_N) -> DataFrame:

@@ -295,10 +295,10 @@ def gold_volatility(spark, d):
     return v.select("ticker", "trade_date", F.round(F.col("stddev_30d") * F.sqrt(F.lit(252.0)) * 100, 4).alias("volatility"))
 
 
-@_query(f"WITH {_ENRICHED} SELECT ticker, trade_date, round(high_52w, 4) AS high_52w, round(low_52w, 4) AS low_52w, round(CASE WHEN high_52w > 0 THEN (close - high_52w) / high_52w * 100 END, 4) AS pct_from_52w_high FROM m")
+@_query(f"WITH {_ENRICHED} SELECT ticker, trade_date, high_52w, low_52w, round(CASE WHEN high_52w > 0 THEN (close - high_52w) / high_52w * 100 END, 4) AS pct_from_52w_high FROM m")
 def gold_range_52w(spark, d):
     r = metrics.yearly_range(_bars(spark, d))
-    return r.select("ticker", "trade_date", F.round("high_52w", 4).alias("high_52w"), F.round("low_52w", 4).alias("low_52w"), F.round(metrics.pct_from(F.col("close"), F.col("high_52w")), 4).alias("pct_from_52w_high"))
+    return r.select("ticker", "trade_date", "high_52w", "low_52w", F.round(metrics.pct_from(F.col("close"), F.col("high_52w")), 4).alias("pct_from_52w_high"))
 
 
 @_query(f"WITH {_ENRICHED} SELECT ticker, trade_date, {_TREND} AS ma_30_trend FROM m")
@@ -622,7 +622,7 @@ def lineage_by_state(spark, d):
 @_query("SELECT user_id % 7 AS job, count(*) FILTER (hour(ts) < 12) AS morning, count(*) FILTER (hour(ts) >= 12) AS evening FROM events GROUP BY 1")
 def lineage_pivot(spark, d):
     e = read(spark, d, "events").select((F.col("user_id") % 7).alias("job"), F.when(F.hour("ts") < 12, "morning").otherwise("evening").alias("half"))
-    return e.groupBy("job").pivot("half", ["morning", "evening"]).agg(F.count("*")).na.fill(0)
+    return e.groupBy("job").pivot("half", ["morning", "evening"]).agg(F.count(F.lit(1))).na.fill(0)
 
 
 @_query("SELECT event_type AS topic, CAST(sum(hi - lo) AS BIGINT) AS messages FROM (SELECT event_type, user_id % 3 AS part, min(event_id) AS lo, max(event_id) + 1 AS hi FROM events GROUP BY ALL) GROUP BY event_type")
