@@ -1,19 +1,25 @@
 """Sparse and dense retrieval, rank fusion, reranking, citations and index maintenance as DataFrame operators.
 
 Query-side frames (terms of one question, one query vector, a ranked list of at most k hits) are small by construction
-and may be broadcast. Corpus-side frames never are."""
+and may be broadcast. Corpus-side frames never are. Sets of queries may grow with the corpus: they are scored block by
+block (``QUERY_BLOCK`` queries against ``CORPUS_BLOCK`` rows in one Arrow group), and of each block at most k hits a query
+go on."""
 
 from __future__ import annotations
 
 import math
 from collections.abc import Callable
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 # Fixed values of the public BM25 variant and of rank fusion.
 K1, B, EPSILON, RRF_K = 1.5, 0.75, 0.25, 60
 TOP_K, RERANK_N, EXCERPT = 30, 6, 400
+QUERY_BLOCK, CORPUS_BLOCK = 512, 4096
 
 
 def tokens(text: Column) -> Column:
@@ -83,20 +89,112 @@ def dense_search(vectors: DataFrame, query: list[float], k: int = TOP_K, id_col:
     return ranked(scores, k)
 
 
-def fuse(rankings: dict[str, DataFrame], k: int = RRF_K) -> DataFrame:
+def _blocks(df: DataFrame, key: str, most: int) -> tuple[Column, int]:
+    """Block number of a row, and how many blocks there are: about ``most`` rows each."""
+    n = max(1, -(-df.count() // most))
+    return F.pmod(F.xxhash64(key), F.lit(n)).cast("int"), n
+
+
+def _best(query_ids: np.ndarray, ids: np.ndarray, scores: np.ndarray, k: int, positive_only: bool) -> pa.Table:
+    """The k best of each line of ``scores`` (queries x ids), ties by id."""
+    low = -np.round(scores, 6)
+    edge = np.partition(low, min(k, low.shape[1]) - 1, axis=1)[:, min(k, low.shape[1]) - 1]
+    q, d = np.nonzero((low <= edge[:, None]) & (low < 0 if positive_only else True))
+    order = np.lexsort((ids[d], low[q, d], q))
+    q, d = q[order], d[order]
+    keep = np.arange(q.size) - np.searchsorted(q, q) < k
+    q, d = q[keep], d[keep]
+    return pa.table({"query_id": query_ids[q], "id": ids[d], "score": -low[q, d] + 0.0})
+
+
+def _block_search(corpus: DataFrame, queries: DataFrame, n_queries: DataFrame, score: Callable[[pa.Table, pa.Table], pa.Table], k: int) -> DataFrame:
+    """Every block of ``corpus`` (column id) meets every block of ``queries`` (column query_id, one or more rows a query;
+    ``n_queries``: one row a query); then the k best of each query get their ``rank``."""
+    (cb, nc), (qb, nq) = _blocks(corpus, "id", CORPUS_BLOCK), _blocks(n_queries, "query_id", QUERY_BLOCK)
+    c = corpus.select(cb.alias("cb"), F.explode(F.sequence(F.lit(0), F.lit(nq - 1))).alias("qb"), "*")
+    q = queries.select(F.explode(F.sequence(F.lit(0), F.lit(nc - 1))).alias("cb"), qb.alias("qb"), "*")
+    none = pa.table({"query_id": pa.array([], pa.int64()), "id": pa.array([], pa.int64()), "score": pa.array([], pa.float64())})
+    hits = c.groupBy("cb", "qb").cogroup(q.groupBy("cb", "qb")).applyInArrow(lambda a, b: score(a, b) if a.num_rows and b.num_rows else none, "query_id BIGINT, id BIGINT, score DOUBLE")
+    w = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "id")
+    return hits.withColumn("rank", F.row_number().over(w).cast("bigint")).where(F.col("rank") <= k)
+
+
+def _matrix(vectors: pa.ChunkedArray) -> np.ndarray:
+    """Normalised vectors as lines; vectors of zeros stay."""
+    v = vectors.combine_chunks()
+    m = v.flatten().to_numpy(zero_copy_only=False).reshape(len(v), -1).astype(np.float64)
+    n = np.sqrt((m * m).sum(axis=1, keepdims=True))
+    return m / np.where(n > 0, n, 1.0)
+
+
+def dense_search_set(vectors: DataFrame, queries: DataFrame, k: int = TOP_K, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
+    """Exact cosine top-k of every query against every vector: query_id, id, score, rank. ``queries``: query_id and the
+    vector under the same name as in ``vectors``. A null vector has no cosine; it is no hit and as a query has none."""
+    c = vectors.where(F.col(vec_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).alias("v"))
+    q = queries.where(F.col(vec_col).isNotNull()).select(F.col("query_id").cast("long").alias("query_id"), F.col(vec_col).alias("v"))
+
+    def score(a: pa.Table, b: pa.Table) -> pa.Table:
+        return _best(b["query_id"].to_numpy(), a["id"].to_numpy(), _matrix(b["v"]) @ _matrix(a["v"]).T, k, False)
+
+    return _block_search(c, q, q, score, k)
+
+
+def sparse_search_set(docs: DataFrame, questions: DataFrame, k: int = TOP_K, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """BM25 top-k of every question against every document, as ``sparse_search`` has it for one: query_id, id, score, rank.
+    ``questions``: query_id, question."""
+    size = docs.agg(F.count("*").alias("N"), F.avg(F.coalesce(F.size(tokens(F.col(text_col))), F.lit(0))).alias("avgdl"))
+    weighted = document_frequencies(postings(docs, id_col, text_col)).crossJoin(F.broadcast(size)).withColumn("idf", F.ln(F.col("N") - F.col("df") + 0.5) - F.ln(F.col("df") + 0.5))
+    mean = weighted.agg(F.avg("idf").alias("mean_idf"))
+    worth = weighted.crossJoin(F.broadcast(mean)).select("term", "avgdl", F.when(F.col("idf") < 0, EPSILON * F.col("mean_idf")).otherwise(F.col("idf")).alias("w"))  # both are one row
+    asked = postings(questions, "query_id", "question").join(worth, "term").select(F.col("id").cast("long").alias("query_id"), "term", (F.col("w") * F.col("tf")).alias("w"), "avgdl")
+    corpus = docs.select(F.col(id_col).cast("long").alias("id"), tokens(F.col(text_col)).alias("ts")).where(F.size("ts") > 0)
+
+    def score(a: pa.Table, b: pa.Table) -> pa.Table:
+        ts = a["ts"].combine_chunks()
+        terms = pc.unique(b["term"])
+        lengths = pc.list_value_length(ts).to_numpy(zero_copy_only=False).astype(np.float64)
+        doc, term = pc.list_parent_indices(ts).to_numpy(zero_copy_only=False), pc.index_in(ts.flatten(), terms)
+        hit = pc.is_valid(term).to_numpy(zero_copy_only=False)
+        cell, tf = np.unique(term.fill_null(0).to_numpy(zero_copy_only=False)[hit].astype(np.int64) * a.num_rows + doc[hit], return_counts=True)
+        term, doc = np.divmod(cell, a.num_rows)  # in order of terms
+        part = tf * (K1 + 1) / (tf + K1 * (1 - B + B * lengths[doc] / b["avgdl"][0].as_py()))
+        query_ids, query = np.unique(b["query_id"].to_numpy(), return_inverse=True)
+        of = pc.index_in(b["term"], terms).to_numpy().astype(np.int64)
+        order = np.argsort(of, kind="stable")
+        query, weight = query[order], b["w"].to_numpy()[order]
+        q_at, d_at = (np.searchsorted(x, np.arange(len(terms) + 1)) for x in (of[order], term))
+        work = np.diff(q_at) * np.diff(d_at)
+        scores = np.zeros((query_ids.size, a.num_rows))
+        common = work * 16 > scores.size
+        for t in np.flatnonzero(~common & (work > 0)):
+            qs, ds = slice(q_at[t], q_at[t + 1]), slice(d_at[t], d_at[t + 1])
+            scores[np.ix_(query[qs], doc[ds])] += np.outer(weight[qs], part[ds])
+        frequent = np.flatnonzero(common)
+        for some in np.split(frequent, range(512, frequent.size, 512)):  # one product for up to 512 frequent terms
+            left, right = np.zeros((query_ids.size, some.size)), np.zeros((some.size, a.num_rows))
+            for i, t in enumerate(some):
+                left[query[q_at[t] : q_at[t + 1]], i] = weight[q_at[t] : q_at[t + 1]]
+                right[i, doc[d_at[t] : d_at[t + 1]]] = part[d_at[t] : d_at[t + 1]]
+            scores += left @ right
+        return _best(query_ids, a["id"].to_numpy(), scores, k, True)
+
+    return _block_search(corpus, asked, questions, score, k)
+
+
+def fuse(rankings: dict[str, DataFrame], k: int = RRF_K, by: tuple[str, ...] = ()) -> DataFrame:
     """Reciprocal rank fusion over list positions; each list's rank and score are kept, ties go to the earlier list and
-    position. ``retrievers`` names the lists in their order."""
+    position. ``retrievers`` names the lists in their order. ``by``: the columns that tell the queries of a set apart."""
     parts = None
     for i, (name, r) in enumerate(rankings.items()):
-        w = Window.orderBy("rank", "id")  # at most k rows a list
-        p = r.select("id", F.row_number().over(w).alias("pos"), F.lit(i).alias("list"), F.lit(name).alias("name"), F.col("rank").alias("r"), F.col("score").alias("s"))
+        w = Window.partitionBy(*by).orderBy("rank", "id")  # at most k rows a list
+        p = r.select(*by, "id", F.row_number().over(w).alias("pos"), F.lit(i).alias("list"), F.lit(name).alias("name"), F.col("rank").alias("r"), F.col("score").alias("s"))
         parts = p if parts is None else parts.unionByName(p)
     if parts is None:
         raise ValueError("no ranking")
     keep = [x for name in rankings for x in (F.max(F.when(F.col("name") == name, F.col("r"))).alias(f"{name}_rank"), F.max(F.when(F.col("name") == name, F.col("s"))).alias(f"{name}_score"))]
     seen = F.array_sort(F.collect_set(F.struct("list", "name")))
-    out = parts.groupBy("id").agg(F.round(F.sum(F.lit(1.0) / (F.lit(k) + F.col("pos"))), 10).alias("rrf_score"), F.min(F.struct("list", "pos")).alias("first"), F.transform(seen, lambda x: x["name"]).alias("retrievers"), *keep)
-    order = Window.orderBy(F.col("rrf_score").desc(), "first.list", "first.pos")
+    out = parts.groupBy(*by, "id").agg(F.round(F.sum(F.lit(1.0) / (F.lit(k) + F.col("pos"))), 10).alias("rrf_score"), F.min(F.struct("list", "pos")).alias("first"), F.transform(seen, lambda x: x["name"]).alias("retrievers"), *keep)
+    order = Window.partitionBy(*by).orderBy(F.col("rrf_score").desc(), "first.list", "first.pos")
     return out.withColumn("final_rank", F.row_number().over(order).cast("bigint")).drop("first")
 
 
@@ -114,11 +212,22 @@ def rerank(fused: DataFrame, texts: DataFrame, scorer: Callable[[Column], Column
     return top.withColumn("final_rank", F.row_number().over(Window.orderBy(F.col("rerank_score").desc(), "before")).cast("bigint"))
 
 
-def moves(fused: DataFrame, reranked: DataFrame, n: int = RERANK_N) -> DataFrame:
+def rerank_set(fused: DataFrame, texts: DataFrame, questions: DataFrame, n: int = RERANK_N) -> DataFrame:
+    """``rerank`` by token overlap for a set of queries: query_id, id, before, rerank_score, final_rank. ``questions``:
+    query_id, question; a query without words scores 0 everywhere and keeps its order."""
+    q = questions.select("query_id", F.array_distinct(tokens(F.col("question"))).alias("asked"))
+    j = fused.select("query_id", "id", F.col("final_rank").alias("before")).join(texts, "id").join(q, "query_id", "left")
+    share = F.round(F.size(F.array_intersect("asked", tokens(F.col("text")))) / F.greatest(F.lit(1.0), F.size("asked").cast("double")), 6)
+    w = Window.partitionBy("query_id").orderBy(F.col("rerank_score").desc(), "before")
+    return j.select("query_id", "id", "before", F.when(F.col("asked").isNotNull() & F.col("text").isNotNull(), share).otherwise(0.0).alias("rerank_score")).withColumn("final_rank", F.row_number().over(w).cast("bigint")).where(F.col("final_rank") <= n)
+
+
+def moves(fused: DataFrame, reranked: DataFrame, n: int = RERANK_N, by: tuple[str, ...] = ()) -> DataFrame:
     """id, move: promoted into the first n by reranking, or demoted out of them."""
-    before = fused.where(F.col("final_rank") <= n).select("id")
-    after = reranked.select("id")
-    return after.join(before, "id", "left_anti").withColumn("move", F.lit("promoted")).unionByName(before.join(after, "id", "left_anti").withColumn("move", F.lit("demoted")))
+    key = [*by, "id"]
+    before = fused.where(F.col("final_rank") <= n).select(key)
+    after = reranked.select(key)
+    return after.join(before, key, "left_anti").withColumn("move", F.lit("promoted")).unionByName(before.join(after, key, "left_anti").withColumn("move", F.lit("demoted")))
 
 
 def citations(answers: DataFrame, id_col: str, text_col: str, supplied_col: str) -> DataFrame:

@@ -13,7 +13,7 @@ from tickforge.operators import contract, expectations, medallion, metrics, retr
 from tickforge.operators.tables import VersionedTable, WriteRefused, conform, merge_frames, violation_counts
 from tickforge.sources.fixtures import bars as _bars
 from tickforge.streaming.ingest import drain_payloads
-from tickforge.workspace import read, shared_path
+from tickforge.workspace import read, shared_path, written
 
 QUESTION = "Which risks does the company see for server capacity, cloud workloads and credit spreads?"
 OTHER_QUESTION = "reinsurance treaties and hail losses"
@@ -566,6 +566,87 @@ def top_list_overlap(spark, d):
     return dense.intersect(_fuse(spark, d, 60).where("final_rank <= 30").select("id"))
 
 
+# Sets of queries: every row whose id is divisible by 50 asks, against all rows. An id asks with its vector, with its text, or with both.
+
+_EVERY = 50
+_DENSE_SET = f"""qv AS (SELECT vec_id AS query_id, CAST(embedding AS DOUBLE[]) AS q FROM embeddings WHERE vec_id % {_EVERY} = 0),
+dense AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM (
+  SELECT query_id, vec_id AS id, round(list_dot_product(v, q) / sqrt(list_dot_product(v, v)) / sqrt(list_dot_product(q, q)), 6) AS score
+  FROM (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings), qv)) WHERE rank <= 30)"""
+_SPARSE_SET = f"""{_POSTS}, size AS (SELECT count(*) AS N, (SELECT CAST(sum(len(ts)) AS DOUBLE) FROM toks) / count(*) AS avgdl FROM documents),
+dfs AS (SELECT term, ln(N - df + 0.5) - ln(df + 0.5) AS idf, avgdl FROM (SELECT term, count(*) AS df FROM posts GROUP BY term), size),
+w AS (SELECT q.id AS query_id, term, avgdl, q.tf * CASE WHEN idf < 0 THEN 0.25 * (SELECT avg(idf) FROM dfs) ELSE idf END AS w FROM dfs JOIN posts q USING (term) WHERE q.id % {_EVERY} = 0),
+sparse AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM (
+  SELECT query_id, id, round(sum(w * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * length / avgdl))), 6) AS score FROM posts JOIN w USING (term) GROUP BY query_id, id) WHERE score > 0) WHERE rank <= 30)"""
+
+
+def _questions(spark, d):
+    return _docs(spark, d).where(F.col("doc_id") % _EVERY == 0).select(F.col("doc_id").alias("query_id"), F.col("text").alias("question"))
+
+
+@_query(f"WITH {_SPARSE_SET} SELECT * FROM sparse")
+def bm25_set_top30(spark, d):
+    return retrieval.sparse_search_set(_docs(spark, d), _questions(spark, d))
+
+
+@_query(f"WITH {_DENSE_SET} SELECT * FROM dense")
+def dense_set_top30(spark, d):
+    v = read(spark, d, "embeddings")
+    return retrieval.dense_search_set(v, v.where(F.col("vec_id") % _EVERY == 0).withColumnRenamed("vec_id", "query_id"))
+
+
+def _fused_set_sql(k: int) -> str:
+    return f"""{_SPARSE_SET}, {_DENSE_SET},
+lists AS (SELECT query_id, id, rank, score, 0 AS list, 'dense' AS name FROM dense UNION ALL SELECT query_id, id, rank, score, 1, 'sparse' FROM sparse),
+fused AS (SELECT query_id, id, rrf_score, dense_rank, dense_score, sparse_rank, sparse_score, retrievers, row_number() OVER (PARTITION BY query_id ORDER BY rrf_score DESC, l, p) AS final_rank FROM (
+  SELECT query_id, id, round(sum(1.0 / ({k} + rank)), 10) AS rrf_score, min({{'l': list, 'p': rank}}).l AS l, min({{'l': list, 'p': rank}}).p AS p,
+         max(CASE WHEN list = 0 THEN rank END) AS dense_rank, max(CASE WHEN list = 0 THEN score END) AS dense_score,
+         max(CASE WHEN list = 1 THEN rank END) AS sparse_rank, max(CASE WHEN list = 1 THEN score END) AS sparse_score, string_agg(name, ',' ORDER BY list) AS retrievers FROM lists GROUP BY query_id, id))"""
+
+
+def _fuse_set(spark, d, k):
+    return retrieval.fuse({"dense": dense_set_top30(spark, d), "sparse": bm25_set_top30(spark, d)}, k, ("query_id",))
+
+
+@_query(f"WITH {_fused_set_sql(60)} SELECT query_id, {_FUSED_COLUMNS} FROM fused")
+def rrf_set_fused(spark, d):
+    return _fuse_set(spark, d, 60).withColumn("retrievers", F.array_join("retrievers", ","))
+
+
+@_query(f"WITH {_fused_set_sql(1)} SELECT query_id, {_FUSED_COLUMNS} FROM fused")
+def rrf_set_small_k(spark, d):
+    return _fuse_set(spark, d, 1).withColumn("retrievers", F.array_join("retrievers", ","))
+
+
+_RERANK_SET = f"""{_fused_set_sql(60)}, asked AS (SELECT id AS query_id, list_distinct(ts) AS words FROM toks WHERE id % {_EVERY} = 0),
+scored AS (SELECT f.query_id, f.id, f.final_rank AS before, coalesce(round(len(list_intersect(words, regexp_extract_all(lower(text), '[a-z0-9]+'))) / greatest(1.0, CAST(len(words) AS DOUBLE)), 6), 0.0) AS rerank_score
+  FROM fused f JOIN documents d ON d.doc_id = f.id LEFT JOIN asked a ON a.query_id = f.query_id),
+reranked AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rerank_score DESC, before) AS final_rank FROM scored) WHERE final_rank <= 6)"""
+
+
+def _reranked_set(spark, d):
+    fused = written(_fuse_set(spark, d, 60), "fused")
+    return fused, retrieval.rerank_set(fused, _docs(spark, d).select(F.col("doc_id").alias("id"), "text"), _questions(spark, d))
+
+
+@_query(f"WITH {_RERANK_SET} SELECT query_id, id, before, CAST(rerank_score AS DOUBLE) AS rerank_score, final_rank FROM reranked")
+def rerank_set_lexical(spark, d):
+    return _reranked_set(spark, d)[1]
+
+
+@_query(
+    f"""WITH {_RERANK_SET}, b AS (SELECT query_id, id FROM fused WHERE final_rank <= 6), a AS (SELECT query_id, id FROM reranked)
+SELECT query_id, id, 'promoted' AS move FROM (FROM a EXCEPT FROM b) UNION ALL SELECT query_id, id, 'demoted' FROM (FROM b EXCEPT FROM a)"""
+)
+def rerank_set_moves(spark, d):
+    return retrieval.moves(*_reranked_set(spark, d), by=("query_id",))
+
+
+@_query(f"WITH {_fused_set_sql(60)} SELECT query_id, id FROM dense WHERE rank <= 30 INTERSECT SELECT query_id, id FROM fused WHERE final_rank <= 30")
+def top_list_set_overlap(spark, d):
+    return dense_set_top30(spark, d).select("query_id", "id").intersect(_fuse_set(spark, d, 60).where("final_rank <= 30").select("query_id", "id"))
+
+
 _MARKERS = r"""m AS (SELECT answer_id AS id, sources_supplied AS supplied, CAST(n AS INTEGER) AS source_index, pos FROM (
   SELECT answer_id, sources_supplied, unnest(ns) AS n, generate_subscripts(ns, 1) - 1 AS pos FROM (SELECT *, regexp_extract_all(answer, '\[S(\d{1,9})\]', 1) AS ns FROM grounded_answers))),
 c AS (SELECT id, supplied, source_index, min(pos) AS first_pos FROM m GROUP BY ALL)"""
