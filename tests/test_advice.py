@@ -1,5 +1,7 @@
 """Cases of the reviews: whole query sets, null groups."""
 
+import hashlib
+
 import numpy as np
 import pytest
 
@@ -50,3 +52,14 @@ def test_the_registered_sets_ask_with_every_fiftieth_row(spark):
     assert got == ids("embeddings", "vec_id") and len(got) > 1
     for name in ("dense_set_top30", "bm25_set_top30", "rrf_set_fused", "rrf_set_small_k", "rerank_set_lexical", "rerank_set_moves", "top_list_set_overlap"):
         assert "query_id" in e.oracle_sql()[name]
+
+
+def test_documents_without_source_or_company_count(spark, tmp_path):
+    import __spark_entry__ as e
+
+    rows = [(1, "a", None, None), (2, "bb", "press_wire", "X"), (3, "c", "analyst_note", None), (4, None, None, None), (5, "d", "other", "Y Labs")]
+    spark.createDataFrame(rows, "doc_id BIGINT, text STRING, source STRING, company STRING").write.parquet(f"{tmp_path}/documents.parquet")
+    names = {hashlib.md5(t.encode()).hexdigest(): t for t in ("a", "bb", "c", "d")}
+    got = {names[r["chunk_id"]]: r["action"] for r in e.queries()["index_sync_plan_whole"](spark, str(tmp_path)).collect()}
+    assert got == {"a": "keep", "bb": "delete", "c": "add", "d": "keep"}
+    assert list(map(tuple, e.queries()["filing_priority_whole"](spark, str(tmp_path)).collect())) == [("Y Labs", True, 1, 1), (None, False, 2, 2), ("X", False, 2, 1)]
