@@ -7,7 +7,8 @@ takes the new level. An exact neighbour test then confirms flagged stretches. Th
 test's (12 usual changes against about 6), and a stretch next to a flagged reading is tested too, so the filter loses
 none: with a gain of 0.95 the level is within a twentieth of the limit of the last accepted reading.
 
-Stuck values are where the variance of the one-step innovations over the last ``STUCK_RUN`` messages vanishes.
+Stuck values are found by a run-length test on the raw readings: ``STUCK_RUN`` messages in a row without a change. It
+stands in place of a test on the variance of the filter's innovations, which do not enter it.
 
 A source's series is cut into shards of ``SHARD`` readings by exact position, and each shard gets ``HALO`` readings of
 its neighbours to warm up and to look ahead, so a source with a third of all rows is many tasks. Positions come from
@@ -138,7 +139,7 @@ def spike_mask(y: np.ndarray, usual: float, candidates: np.ndarray) -> np.ndarra
 
 
 def stuck_mask(x: np.ndarray, mpos: np.ndarray, live: np.ndarray) -> np.ndarray:
-    """Members of a run of at least ``STUCK_RUN`` consecutive live messages between which the innovations vanish."""
+    """Members of a run of at least ``STUCK_RUN`` consecutive live messages with the same raw reading."""
     n = len(x)
     out = np.zeros(n, bool)
     k = STUCK_RUN - 1
@@ -146,7 +147,7 @@ def stuck_mask(x: np.ndarray, mpos: np.ndarray, live: np.ndarray) -> np.ndarray:
         return out
     step = np.where((np.diff(mpos) == 1) & live[1:] & live[:-1], np.diff(x), np.inf)
     moved = np.concatenate([[0], np.cumsum(step != 0)])
-    still = moved[k:] == moved[:-k]  # no innovation within the window that starts here
+    still = moved[k:] == moved[:-k]  # no change within the window that starts here
     for j in range(STUCK_RUN):
         out[j : j + len(still)] |= still
     return out
