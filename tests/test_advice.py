@@ -1,11 +1,12 @@
 """Cases of the reviews: whole query sets, null groups."""
 
+import datetime as dt
 import hashlib
 
 import numpy as np
 import pytest
 
-from tickforge.operators import retrieval
+from tickforge.operators import retrieval, rolling
 
 
 def test_every_query_of_a_set_is_searched(spark, monkeypatch):
@@ -63,3 +64,11 @@ def test_documents_without_source_or_company_count(spark, tmp_path):
     got = {names[r["chunk_id"]]: r["action"] for r in e.queries()["index_sync_plan_whole"](spark, str(tmp_path)).collect()}
     assert got == {"a": "keep", "bb": "delete", "c": "add", "d": "keep"}
     assert list(map(tuple, e.queries()["filing_priority_whole"](spark, str(tmp_path)).collect())) == [("Y Labs", True, 1, 1), (None, False, 2, 2), ("X", False, 2, 1)]
+
+
+def test_rolling_totals_as_they_stand(spark):
+    closes = [175.15270003503056, 1.00004999, 2.5]
+    kept = spark.createDataFrame([(i, "AA", dt.date(2024, 1, 1 + i), None, c, 10) for i, c in enumerate(closes)], "row_id BIGINT, ticker STRING, trade_date DATE, event_ts TIMESTAMP, close DOUBLE, volume BIGINT")
+    got = rolling.rolling_totals(kept, digits=None).orderBy("day").collect()
+    assert [r["total_close_7d"] for r in got] == pytest.approx(np.cumsum(closes).tolist(), rel=1e-13)
+    assert got[2]["avg_close_30d"] == pytest.approx(sum(closes) / 3, rel=1e-13)

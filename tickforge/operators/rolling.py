@@ -118,9 +118,10 @@ def range_sum(tree: np.ndarray, left: np.ndarray, right: np.ndarray) -> np.ndarr
         lo, hi = np.where(active, lo >> 1, lo), np.where(active, hi >> 1, hi)
 
 
-def trailing(trees: DataFrame, windows: tuple[int, ...] = (7, 30)) -> DataFrame:
+def trailing(trees: DataFrame, windows: tuple[int, ...] = (7, 30), digits: int | None = 4) -> DataFrame:
     """For each ticker and calendar day between its first and last quote: totals, counts and averages over the trailing
-    windows (days, the day itself included)."""
+    windows (days, the day itself included). Totals of close are rounded to ``digits``, which takes the summation order
+    out but also what closes have beyond; None leaves them as summed."""
     if max(windows) > SHARD_DAYS or min(windows) < 1:
         raise ValueError(f"windows must have 1 to {SHARD_DAYS} days")
     span = trees.groupBy("ticker").agg(F.min(F.struct("shard", "lo")).alias("a"), F.max(F.struct("shard", "hi")).alias("z"))
@@ -159,10 +160,10 @@ def trailing(trees: DataFrame, windows: tuple[int, ...] = (7, 30)) -> DataFrame:
     sums = tasks.mapInArrow(answer, f"ticker STRING, day DATE, {fields}")
     out = [F.col("ticker"), F.col("day")]
     for w in windows:
-        total = F.round(f"total_close_{w}d", 4)  # closes have four decimals; this takes the summation order out
+        total = F.col(f"total_close_{w}d") if digits is None else F.round(f"total_close_{w}d", digits)
         out += [total.alias(f"total_close_{w}d"), (total / F.col(f"n_close_{w}d")).alias(f"avg_close_{w}d"), F.col(f"total_volume_{w}d"), (F.col(f"total_volume_{w}d") / F.col(f"n_volume_{w}d")).alias(f"avg_volume_{w}d"), F.col(f"n_close_{w}d"), F.col(f"n_volume_{w}d")]
     return sums.select(*out)
 
 
-def rolling_totals(kept: DataFrame, windows: tuple[int, ...] = (7, 30)) -> DataFrame:
-    return trailing(build_trees(day_quotes(kept)), windows)
+def rolling_totals(kept: DataFrame, windows: tuple[int, ...] = (7, 30), digits: int | None = 4) -> DataFrame:
+    return trailing(build_trees(day_quotes(kept)), windows, digits)

@@ -59,8 +59,13 @@ def p7_rolling_totals(spark: SparkSession, d: str) -> DataFrame:
     return rolling.rolling_totals(_kept(spark, d))
 
 
+def rolling_totals_unrounded(spark: SparkSession, d: str) -> DataFrame:
+    """``p7_rolling_totals`` with values as they stand; to be compared with a tolerance."""
+    return rolling.rolling_totals(_kept(spark, d), digits=None)
+
+
 QUERIES = {
-    f.__name__: f for f in (p1_found, p2_found, p2_profile, p3_found, p3_loaded, p4_found, p6_found, p6_daily_as_of, p6_expired_report, p7_rolling_totals)
+    f.__name__: f for f in (p1_found, p2_found, p2_profile, p3_found, p3_loaded, p4_found, p6_found, p6_daily_as_of, p6_expired_report, p7_rolling_totals, rolling_totals_unrounded)
 }
 
 # -- SQL --------------------------------------------------------------------------------------------------------
@@ -144,12 +149,12 @@ _ROUTED = f"""{_KEPT}, routed AS (
   FROM kept WHERE event_ts IS NOT NULL AND ingest_ts IS NOT NULL)"""
 
 
-def _p7_sql() -> str:
+def _p7_sql(total: str = "round(sum(close) {over}, 4)") -> str:
     out = []
     for w in (7, 30):
         over = f"OVER (PARTITION BY ticker ORDER BY day RANGE BETWEEN INTERVAL {w - 1} DAYS PRECEDING AND CURRENT ROW)"
         out.append(
-            f"round(sum(close) {over}, 4) AS total_close_{w}d, round(sum(close) {over}, 4) / count(close) {over} AS avg_close_{w}d, CAST(sum(volume) {over} AS BIGINT) AS total_volume_{w}d, "
+            f"{total.format(over=over)} AS total_close_{w}d, {total.format(over=over)} / count(close) {over} AS avg_close_{w}d, CAST(sum(volume) {over} AS BIGINT) AS total_volume_{w}d, "
             f"CAST(sum(volume) {over} AS DOUBLE) / count(volume) {over} AS avg_volume_{w}d, count(close) {over} AS n_close_{w}d, count(volume) {over} AS n_volume_{w}d"
         )
     return f"""WITH {_KEPT}, q AS (
@@ -176,4 +181,5 @@ SELECT ticker, period, as_of_date, CAST(sum(messages) OVER w AS BIGINT) AS messa
 FROM st WINDOW w AS (PARTITION BY ticker, period ORDER BY as_of_date ROWS UNBOUNDED PRECEDING)""",
     "p6_expired_report": f"WITH {_ROUTED} SELECT tk AS ticker, period, count(*) AS dropped FROM routed WHERE status = 'expired' GROUP BY ALL",
     "p7_rolling_totals": _p7_sql(),
+    "rolling_totals_unrounded": _p7_sql("sum(close) {over}"),
 }
