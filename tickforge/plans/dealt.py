@@ -40,7 +40,8 @@ def p3_loaded(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
-    return anomalies.flag_readings(_kept(spark, d))
+    quotes = read(spark, d, "silver_quotes").select("row_id", "ticker", "trade_date", "event_ts", "ingest_ts", *anomalies.PRICES, "volume")
+    return anomalies.flag_readings(redelivery.keep_first(quotes))
 
 
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
