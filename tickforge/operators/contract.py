@@ -56,7 +56,7 @@ def payloads(bars: DataFrame) -> DataFrame:
     is_ = lambda name: F.coalesce(fault == name, F.lit(False))
     num = lambda c: F.round(c, 6).cast("string")
     h = F.md5(F.concat_ws("|", "ticker", F.col("trade_date").cast("string")))
-    bad_dates = F.array(*[F.lit(x) for x in ("not-a-date", "2021-13-45", "", "31/12/2021", "0000-00-00")])
+    bad_dates = F.array(*[F.lit(x) for x in ("yesterday", "2019-02-29", "04.07.2022", "2022-07", "week 27")])
     high, low = F.col("high"), F.col("low")
     values = {
         "ticker": F.when(is_("missing_ticker"), F.lit(None)).when(is_("blank_ticker"), _text(F.lit("???"))).otherwise(_text(F.col("ticker"))),
@@ -71,7 +71,7 @@ def payloads(bars: DataFrame) -> DataFrame:
         "volume": F.when(is_("negative_volume"), (-F.abs("volume")).cast("string")).otherwise(F.col("volume").cast("string")),
         "source": _text(F.lit("bars")),
         "event_ts": _text(F.concat(F.col("trade_date").cast("string"), F.lit("T21:00:00+00:00"))),
-        "settlement_instructions": F.when(is_("unexpected_field"), _text(F.lit("T+2"))),
+        "remark": F.when(is_("unexpected_field"), _text(F.lit("by hand"))),
     }
     cells = [F.when(v.isNotNull(), F.concat(F.lit(f'"{k}":'), v)) for k, v in values.items()]
     whole = F.concat(F.lit("{"), F.array_join(F.array_compact(F.array(*cells)), ","), F.lit("}"))

@@ -105,7 +105,8 @@ def run_gate(df: DataFrame, suite: list[Expectation], write_report: Callable[[di
 
 
 def taint(bars: DataFrame) -> DataFrame:
-    """The bars and five bad rows: the three latest with high 1 and low 9999, the earliest without close, the latest again."""
+    """The bars and five bad rows: the three latest with high 1 and low 9999 (fixed values), the earliest without close,
+    the latest again."""
     cols = bars.columns
     latest = bars.orderBy(F.col("trade_date").desc(), "ticker")
     swapped = latest.limit(3).withColumn("high", F.lit(1.0)).withColumn("low", F.lit(9999.0))

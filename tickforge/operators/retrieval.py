@@ -232,10 +232,12 @@ def moves(fused: DataFrame, reranked: DataFrame, n: int = RERANK_N, by: tuple[st
 
 def citations(answers: DataFrame, id_col: str, text_col: str, supplied_col: str) -> DataFrame:
     """id, marker, source_index, first position, whether the marker points to a supplied source. One row per distinct marker."""
-    m = answers.select(F.col(id_col).alias("id"), F.col(supplied_col).alias("supplied"), F.posexplode(F.regexp_extract_all(F.col(text_col), F.lit(r"\[S(\d{1,9})\]"), F.lit(1))).alias("pos", "n"))
-    g = m.select("id", "supplied", "pos", F.col("n").cast("int").alias("source_index")).groupBy("id", "supplied", "source_index").agg(F.min("pos").alias("first_pos"))
+    m = answers.select(F.col(id_col).alias("id"), F.col(supplied_col).alias("supplied"), F.posexplode(F.regexp_extract_all(F.col(text_col), F.lit(r"\[S(\d+)\]"), F.lit(1))).alias("pos", "n"))
+    # a marker keeps its digits; an index beyond 64 bits is null and points to nothing
+    plain = F.regexp_replace("n", r"^0+(?=\d)", "")
+    g = m.select("id", "supplied", "pos", plain.alias("n")).groupBy("id", "supplied", "n").agg(F.min("pos").alias("first_pos")).withColumn("source_index", F.expr("try_cast(n AS BIGINT)"))
     known = F.coalesce((F.col("source_index") >= 1) & (F.col("source_index") <= F.col("supplied")), F.lit(False))
-    return g.select("id", F.concat(F.lit("[S"), F.col("source_index").cast("string"), F.lit("]")).alias("marker"), "source_index", "first_pos", known.alias("resolved"))
+    return g.select("id", F.concat(F.lit("[S"), F.col("n"), F.lit("]")).alias("marker"), "source_index", "first_pos", known.alias("resolved"))
 
 
 def excerpt(text: Column, n: int = EXCERPT) -> Column:

@@ -12,9 +12,12 @@ CHECKPOINT_SETTING = "spark.checkpoint.dir"
 
 
 def shared_root(spark: SparkSession) -> str:
-    """The cluster's shared folder. Only a session without the setting (tests, notebooks) gets a local one."""
+    """The cluster's shared folder. Only a session without the setting whose tasks all run on this machine (tests,
+    notebooks) gets a local one; on a cluster each executor would write to a disk of its own, so there it is an error."""
     root = spark.conf.get(CHECKPOINT_SETTING, None) or spark.sparkContext.getConf().get(CHECKPOINT_SETTING)
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError(f"{CHECKPOINT_SETTING} must name a folder that all executors share")
         root = f"file://{tempfile.mkdtemp(prefix='tickforge-')}"
         spark.conf.set(CHECKPOINT_SETTING, root)
     return root.rstrip("/")
