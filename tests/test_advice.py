@@ -69,6 +69,6 @@ def test_documents_without_source_or_company_count(spark, tmp_path):
 def test_rolling_totals_as_they_stand(spark):
     closes = [175.15270003503056, 1.00004999, 2.5]
     kept = spark.createDataFrame([(i, "AA", dt.date(2024, 1, 1 + i), None, c, 10) for i, c in enumerate(closes)], "row_id BIGINT, ticker STRING, trade_date DATE, event_ts TIMESTAMP, close DOUBLE, volume BIGINT")
-    got = rolling.rolling_totals(kept, digits=None).orderBy("day").collect()
+    got = rolling.rolling_totals(kept).orderBy("day").collect()
     assert [r["total_close_7d"] for r in got] == pytest.approx(np.cumsum(closes).tolist(), rel=1e-13)
     assert got[2]["avg_close_30d"] == pytest.approx(sum(closes) / 3, rel=1e-13)

@@ -298,7 +298,7 @@ def brute_totals(days, w):
         for d in range(min(q), max(q) + 1):
             got = [q[x] for x in range(d - w + 1, d + 1) if x in q]
             c, v = [x[0] for x in got if x[0] is not None], [x[1] for x in got if x[1] is not None]
-            out[tk, d] = (round(sum(c), 4) if c else None, len(c), sum(v) if v else None, len(v))
+            out[tk, d] = (math.fsum(c) if c else None, len(c), sum(v) if v else None, len(v))
     return out
 
 
@@ -309,7 +309,7 @@ def rolled(df, w):
 
 def test_rolling_totals_equal_brute_force_and_take_corrections(spark):
     rng = random.Random(6)
-    days = {tk: {d: (rng.choice([None, round(rng.random() * 100, 4)]), rng.choice([None, rng.randint(0, 10**6)])) for d in rng.sample(range(span), n)} for tk, span, n in (("AA", 700, 300), ("BB", 40, 3), (None, 300, 150))}
+    days = {tk: {d: (rng.choice([None, rng.random() * 100, rng.random() * 1e-5]), rng.choice([None, rng.randint(0, 10**6)])) for d in rng.sample(range(span), n)} for tk, span, n in (("AA", 700, 300), ("BB", 40, 3), (None, 300, 150))}
     days["ONE"] = {5: (1.0, 1)}
     make = lambda ds: frame(spark, [quote(i, ticker=tk, day=d, close=c, volume=v) for i, (tk, d, c, v) in enumerate((tk, d, c, v) for tk, q in ds.items() for d, (c, v) in q.items())])
     trees = rolling.build_trees(rolling.day_quotes(make(days)))
@@ -323,6 +323,14 @@ def test_rolling_totals_equal_brute_force_and_take_corrections(spark):
     assert rolling.rolling_totals(frame(spark, [])).count() == 0
 
 
+def test_small_prices_and_long_gaps(spark):
+    rows = [quote(1, day=0, close=2e-5), quote(2, day=1, close=1e-5), quote(3, day=600, close=float("inf")), quote(4, day=602, close=3.0)]
+    out = {(r["day"] - DAY).days: r for r in rolling.rolling_totals(frame(spark, rows)).collect()}
+    assert sorted(out) == list(range(603))
+    assert (out[1]["total_close_7d"], out[1]["avg_close_7d"], out[8]["total_close_30d"], out[40]["total_close_30d"]) == (2e-5 + 1e-5, (2e-5 + 1e-5) / 2, 2e-5 + 1e-5, None)
+    assert out[602]["total_close_7d"] == float("inf") and out[500]["n_close_30d"] == 0
+
+
 def test_day_quote_prefers_the_latest_event(spark):
     t = dt.datetime(2024, 1, 1, 20)
     rows = [quote(1, close=1.0, event=t), quote(2, close=2.0, event=t + dt.timedelta(hours=1)), quote(3, close=3.0, event=None), quote(4, day=None, close=9.0)]

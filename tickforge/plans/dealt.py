@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from tickforge.functions.scalars import norm_ticker
 from tickforge.operators import anomalies, late, profile, redelivery, rejects, rolling
-from tickforge.workspace import read
+from tickforge.workspace import read, written
 
 
 def _kept(spark: SparkSession, d: str) -> DataFrame:
@@ -56,17 +58,28 @@ def p6_expired_report(spark: SparkSession, d: str) -> DataFrame:
     return late.expired_report(_kept(spark, d)).select("ticker", "period", "dropped")
 
 
+def _day_values(spark: SparkSession, d: str) -> DataFrame:
+    return redelivery.keep_first(read(spark, d, "silver_quotes").select("row_id", "ticker", "trade_date", "event_ts", "ingest_ts", "close", "volume"))
+
+
 def p7_rolling_totals(spark: SparkSession, d: str) -> DataFrame:
-    return rolling.rolling_totals(_kept(spark, d))
+    return rolling.rolling_totals(_day_values(spark, d))
 
 
-def rolling_totals_unrounded(spark: SparkSession, d: str) -> DataFrame:
-    """``p7_rolling_totals`` with values as they stand; to be compared with a tolerance."""
-    return rolling.rolling_totals(_kept(spark, d), digits=None)
+def p7_corrected(spark: SparkSession, d: str) -> DataFrame:
+    """The same, as trees of all arrivals but those of the last 30 days, corrected by these."""
+    kept = written(_day_values(spark, d), "kept")
+    last = kept.agg(F.max("ingest_ts")).first()[0]
+    early = F.lit(True) if last is None else F.coalesce(F.col("ingest_ts") < F.lit(last) - F.expr("INTERVAL 30 DAYS"), F.lit(False))
+    trees = written(rolling.build_trees(rolling.day_quotes(kept.where(early))), "trees")
+    key = [norm_ticker(F.col("ticker")).alias("__t"), F.col("trade_date").alias("__d")]
+    touched = kept.where(~early).select(*key).distinct()
+    again = kept.join(touched, norm_ticker(F.col("ticker")).eqNullSafe(F.col("__t")) & (F.col("trade_date") == F.col("__d")), "left_semi")
+    return rolling.trailing(written(rolling.apply_corrections(trees, rolling.day_quotes(again)), "trees"))
 
 
 QUERIES = {
-    f.__name__: f for f in (p1_found, p2_found, p2_profile, p3_found, p3_loaded, p4_found, p6_found, p6_daily_as_of, p6_expired_report, p7_rolling_totals, rolling_totals_unrounded)
+    f.__name__: f for f in (p1_found, p2_found, p2_profile, p3_found, p3_loaded, p4_found, p6_found, p6_daily_as_of, p6_expired_report, p7_rolling_totals, p7_corrected)
 }
 
 # -- SQL --------------------------------------------------------------------------------------------------------
@@ -150,7 +163,7 @@ _ROUTED = f"""{_KEPT}, routed AS (
   FROM kept WHERE event_ts IS NOT NULL AND ingest_ts IS NOT NULL)"""
 
 
-def _p7_sql(total: str = "round(sum(close) {over}, 4)") -> str:
+def _p7_sql(total: str = "list_aggregate(list(close) FILTER (close IS NOT NULL) {over}, 'fsum')") -> str:
     out = []
     for w in (7, 30):
         over = f"OVER (PARTITION BY ticker ORDER BY day RANGE BETWEEN INTERVAL {w - 1} DAYS PRECEDING AND CURRENT ROW)"
@@ -182,5 +195,5 @@ SELECT ticker, period, as_of_date, CAST(sum(messages) OVER w AS BIGINT) AS messa
 FROM st WINDOW w AS (PARTITION BY ticker, period ORDER BY as_of_date ROWS UNBOUNDED PRECEDING)""",
     "p6_expired_report": f"WITH {_ROUTED} SELECT tk AS ticker, period, count(*) AS dropped FROM routed WHERE status = 'expired' GROUP BY ALL",
     "p7_rolling_totals": _p7_sql(),
-    "rolling_totals_unrounded": _p7_sql("sum(close) {over}"),
+    "p7_corrected": _p7_sql(),
 }
