@@ -81,6 +81,24 @@ def test_store_touches_only_affected_partitions_and_takes_earlier_copies(spark,
     assert after["2024-02"] != before["2024-02"] and after["2024-03"] != before["2024-03"]
     assert {r["row_id"] for r in store.winners().collect()} == {1, 2, 5}
     assert store.deliver(frame(spark, [])).count() == 0
+    new = store.deliver(frame(spark, [quote(6, day=9, ingest=t)]))  # a new message of a stored period: added, nothing rewritten
+    assert new.count() == 0 and store.table.manifest()["parts"]["2024-01"][: len(after["2024-01"])] == after["2024-01"]
+    assert store.table.manifest()["metrics"]["replacedPartitions"] == 0
+    for k in range(store.MOST_FOLDERS + 2):  # many small deliveries: folders stay few, every copy is still found
+        assert sorted(r[0] for r in store.deliver(frame(spark, [quote(100 + k, day=20 + k, ingest=t), quote(200 + k, day=9, ingest=t + month)])).collect()) == [200 + k]
+    m = store.table.manifest()
+    assert len(m["parts"]["2024-01"]) <= store.MOST_FOLDERS + 1 and max(map(len, m["side"]["index"].values())) <= store.MOST_FOLDERS + 1
+
+
+def test_a_delivery_that_fails_before_its_commit_leaves_nothing(spark, tmp_path, monkeypatch):
+    store = redelivery.MessageStore(spark, f"file://{tmp_path}/store")
+    store.deliver(frame(spark, [quote(1, day=0)]))
+    monkeypatch.setattr(type(store.table), "put", lambda *a, **k: (_ for _ in ()).throw(OSError("lost")))
+    with pytest.raises(OSError):
+        store.deliver(frame(spark, [quote(2, day=1)]))
+    monkeypatch.undo()
+    assert store.deliver(frame(spark, [quote(2, day=1)])).count() == 0  # neither the message nor its index entry was there
+    assert sorted(r[0] for r in store.deliver(frame(spark, [quote(3, day=1), quote(4, day=0)])).collect()) == [3, 4]
 
 
 def test_redelivery_of_an_empty_table(spark):

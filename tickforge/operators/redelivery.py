@@ -1,8 +1,10 @@
 """Messages delivered more than once: exactly one copy of each, also across batches.
 
-``keep_first`` is the stateless core. ``MessageStore`` keeps a partitioned, versioned table of winners and an
-identifier index. A delivery is merged by looking its identifiers up in the index, reading only the historical
-partitions that hold them, recomputing single winners over both, and replacing only those partitions in one commit.
+``keep_first`` is the stateless core. ``MessageStore`` keeps a partitioned, versioned table of winners and, as a side of
+the same table, an identifier index in buckets by hash. A delivery is merged by looking its identifiers up in the buckets
+that they fall into, reading only the historical partitions that hold them, and recomputing single winners over both. One
+commit replaces those partitions, adds the new messages to the others without rewriting them, and adds their index
+entries: it is there as a whole or not at all.
 
 Defined cases: null agrees with null in every identifier column; a null order value comes after all others; rows
 equal in identifier and order values are told apart by nothing, and exactly one of them stays; an empty delivery is
@@ -41,67 +43,76 @@ def keep_first(df: DataFrame, identity: list[Column] | None = None, order: tuple
     return won.select("__row.*")
 
 
+INDEX = T.StructType([T.StructField("__hash", T.LongType()), T.StructField("__part", T.StringType()), T.StructField("__bucket", T.StringType())])
+
+
 class MessageStore:
     """A table of winners, partitioned by the period in which a message first arrived, and an index identifier -> partition.
 
     A message stays in the partition in which it was first stored; a copy with an earlier arrival that is delivered
     later replaces the row in that partition. The index holds a hash of the identifier: a collision makes the store
-    read one partition more and changes no result.
+    read one partition more and changes no result. A partition or bucket of more than ``MOST_FOLDERS`` folders is
+    written anew when a delivery adds to it.
     """
 
+    BUCKETS, MOST_FOLDERS = 16, 12
+
     def __init__(self, spark: SparkSession, path: str, identity: list[Column] | None = None, order: tuple[str, ...] = ("ingest_ts", "row_id"), row_id: str = "row_id", partition: Column | None = None):
         self.spark, self.path = spark, path
         self.identity = quote_identity() if identity is None else identity
         self.order, self.row_id = list(order), row_id
         self.partition = F.date_format("ingest_ts", "yyyy-MM") if partition is None else partition
-        self.table, self.index = VersionedTable(spark, f"{path}/winners"), VersionedTable(spark, f"{path}/index")
+        self.table = VersionedTable(spark, f"{path}/winners")
 
     def _keyed(self, df: DataFrame) -> DataFrame:
         cols = [c for c in df.columns if not c.startswith("__")]
         return df.select(*[F.col(f"`{c}`") for c in cols], F.xxhash64(*[F.coalesce(c.cast("string"), F.lit("\u0000")) for c in self.identity]).alias("__hash"))
 
-    def deliver(self, incoming: DataFrame) -> DataFrame:
+    def _bucket(self) -> Column:
+        return F.pmod("__hash", F.lit(self.BUCKETS)).cast("string")
+
+    def deliver(self, incoming: DataFrame, tag: str | None = None) -> DataFrame:
         """Merge a delivery and commit. Returns ``row_id`` of each row that lost its place by it: surplus rows of the
-        delivery and winners that the delivery displaced."""
-        base_cols = incoming.columns
+        delivery and winners that the delivery displaced. A delivery whose ``tag`` the last commit has is not merged again."""
         new = self._keyed(incoming)
+        base_cols = [c for c in new.columns if c != "__hash"]
         if not self.table.exists():
-            schema = T.StructType([*[T.StructField(f.name, f.dataType, True) for f in new.schema], T.StructField("__part", T.StringType())])
-            self.table.create(schema, partition_by="__part")
-            self.index.create(T.StructType([T.StructField("__hash", T.LongType()), T.StructField("__part", T.StringType())]))
+            own = [T.StructField("__part", T.StringType()), T.StructField("__since", T.IntegerType())]
+            self.table.create(T.StructType([*[T.StructField(f.name, f.dataType, True) for f in new.schema], *own]), partition_by="__part")
         base = self.table.manifest()
-        fresh = new.withColumn("__part", F.coalesce(self.partition, F.lit("none"))).withColumn("__new", F.lit(True))
-        if base["parts"]:
-            # the two lists below hold names of partitions, of which there is one per period
-            hit = self.index.read().join(new.select("__hash").distinct(), "__hash", "left_semi").select("__part").distinct()
-            own = fresh.select("__part").distinct().where(F.col("__part").isin(list(base["parts"])))
-            affected = sorted({r[0] for r in hit.union(own).distinct().collect()})
-            past = self.table.read(partitions=affected).withColumn("__new", F.lit(False))
-            both = past.unionByName(fresh.select(past.columns))
-        else:
-            affected, both = [], fresh
-        home = F.struct(F.col("__new"), F.col("__part"))  # False sorts first: a stored message keeps its partition
+        version, full = base["version"] + 1, lambda parts: [p for p, dirs in parts.items() if len(dirs) > self.MOST_FOLDERS]
+        fresh = new.withColumn("__part", F.coalesce(self.partition, F.lit("none"))).withColumn("__since", F.lit(version))
+        if tag is not None and base["metrics"].get("tag") == tag:
+            return fresh.select(F.col(f"`{self.row_id}`")).join(self.table.read(version - 1).select(F.col(f"`{self.row_id}`")), self.row_id, "left_anti")
+        hit: list[str] = []
+        index = base.get("side", {}).get("index", {})
+        if index:
+            # names of buckets and of partitions, of which there is one per period
+            buckets = [r[0] for r in new.select(self._bucket()).distinct().collect()]
+            known = self.table.read_side("index", INDEX, buckets, base["version"])
+            hit = sorted(r[0] for r in known.join(new.select("__hash").distinct(), "__hash", "left_semi").select("__part").distinct().collect())
+        # a partition of many folders is read and replaced only if the delivery may add to it
+        many = set(full(base["parts"])) - set(hit)
+        if many:
+            hit = sorted({*hit, *(r[0] for r in fresh.select("__part").distinct().where(F.col("__part").isin(sorted(many))).collect())})
+        both = self.table.read(base["version"], hit).select(fresh.columns).unionByName(fresh) if hit else fresh
         ids = [c.alias(f"__id{i}") for i, c in enumerate(self.identity)]
-        names = [f"__id{i}" for i in range(len(ids))]
         row = F.struct(*[F.col(f"`{c}`") for c in [*base_cols, "__hash"]])
-        won = both.select(*ids, _order(self.order).alias("__o"), row.alias("__row"), home.alias("__h")).groupBy(*names).agg(F.min_by("__row", "__o").alias("__row"), F.min("__h").alias("__h"))
-        result = won.select("__row.*", F.col("__h.__part").alias("__part"), F.col("__h.__new").alias("__new"))
-        known = self.index.read() if base["parts"] else None
-        version = self.table.replace(result.drop("__new"), affected, "DELIVER", {"affectedPartitions": len(affected), "storedPartitions": len(base["parts"])}, base=base)
-        stored = self.table.read(version, partitions=None if not base["parts"] else sorted({*affected, *self._parts_of(version, base)}))
-        entries = stored.select("__hash", "__part")
-        if known is not None:
-            entries = entries.join(known.where(F.col("__part").isin(affected)), ["__hash", "__part"], "left_anti")
-        self.index.append(entries)
-        loser = both.select(F.col(f"`{self.row_id}`")).join(stored.select(F.col(f"`{self.row_id}`")), self.row_id, "left_anti")
-        return loser
-
-    def _parts_of(self, version: int, base: dict) -> list[str]:
-        return [p for p, d in self.table.manifest(version)["parts"].items() if base["parts"].get(p) != d]
+        home = F.struct("__since", "__part")  # a stored message keeps its partition
+        won = both.select(*ids, _order(self.order).alias("__o"), row.alias("__row"), home.alias("__h")).groupBy(*[f"__id{i}" for i in range(len(ids))]).agg(F.min_by("__row", "__o").alias("__row"), F.min("__h").alias("__h"))
+        added = self.table._write(won.select("__row.*", "__h.__part", "__h.__since"), "__part")
+        stored = self.table._open(added, self.table.schema)
+        entries = stored.where(F.col("__since") == version).select("__hash", "__part", self._bucket().alias("__bucket"))
+        crowded = full(index)
+        if crowded:
+            entries = entries.unionByName(self.table.read_side("index", INDEX, crowded, base["version"])).distinct()
+        metrics = {"replacedPartitions": len(hit), "addedPartitions": len(added.keys() - set(hit)), "storedPartitions": len(base["parts"])} | ({"tag": tag} if tag is not None else {})
+        self.table.put(base, "DELIVER", metrics, added=added, dropped=hit, side={"index": (self.table._write(entries, "__bucket"), crowded)})
+        return both.select(F.col(f"`{self.row_id}`")).join(stored.select(F.col(f"`{self.row_id}`")), self.row_id, "left_anti")
 
     def winners(self) -> DataFrame:
         t = self.table.read()
-        return t.select(*[F.col(f"`{c}`") for c in t.columns if c not in ("__hash", "__part")])
+        return t.select(*[F.col(f"`{c}`") for c in t.columns if c not in ("__hash", "__part", "__since")])
 
 
 def surplus_rows(df: DataFrame, history_until: Column | None = None, path: str | None = None) -> DataFrame:

@@ -1,9 +1,11 @@
 """Versioned Parquet tables: atomic commits, strict schemas, stored constraints, guarded upserts, history, time travel.
 
 A table is a folder with ``data/<commit>/...`` Parquet files and ``manifest/<version>.json``. A manifest names the
-data folders that make up a version, one list per partition value, so that a commit may replace some partitions and
-leave the others where they are. A commit writes its data first and then creates the next manifest exclusively;
-whoever loses that race gets ``CommitConflict`` and the table is as the winner left it.
+data folders that make up a version, one list per partition value, so that a commit may replace some partitions, add to
+others and leave the rest where they are. A commit writes its data first and then creates the next manifest exclusively;
+whoever loses that race gets ``CommitConflict`` and the table is as the winner left it. What belongs to a table but has
+another schema (an index, diverted rows) is a side of it: files of its own, named in the same manifest and so committed
+with it or not at all.
 """
 
 from __future__ import annotations
@@ -106,10 +108,10 @@ class VersionedTable:
             self._commit(0, "CREATE TABLE", {}, {}, schema, partition_by, constraints or {})
         return self
 
-    def _commit(self, version, operation, metrics, parts, schema, partition_by, constraints) -> int:
+    def _commit(self, version, operation, metrics, parts, schema, partition_by, constraints, side=None) -> int:
         body = {
             "version": version, "timestamp": datetime.now(timezone.utc).isoformat(), "operation": operation, "metrics": metrics,
-            "schema": json.loads(schema.json()), "partition_by": partition_by, "constraints": constraints, "parts": parts,
+            "schema": json.loads(schema.json()), "partition_by": partition_by, "constraints": constraints, "parts": parts, "side": side or {},
         }
         if not self.files.create(f"{self.path}/manifest/{version:010d}.json", json.dumps(body)):
             raise CommitConflict(f"version {version} of {self.path} exists already")
@@ -121,12 +123,18 @@ class VersionedTable:
         """A snapshot; with ``partitions`` only the files of those partition values are opened."""
         m = self.manifest(version)
         schema = T.StructType.fromJson(m["schema"])
-        dirs = sorted({d for p, ds in m["parts"].items() if partitions is None or p in partitions for d in ds})
+        # what is in a partition's folder doesn't repeat the partition column in its path
+        return self._open(m["parts"], schema, partitions)
+
+    def _open(self, parts: dict[str, list[str]], schema: T.StructType, partitions: list[str] | None = None) -> DataFrame:
+        dirs = sorted({d for p, ds in parts.items() if partitions is None or p in partitions for d in ds})
         if not dirs:
             return self.spark.createDataFrame([], schema)
-        # what is in a partition's folder doesn't repeat the partition column in its path
         return self.spark.read.schema(_nullable(schema)).parquet(*[f"{self.path}/data/{d}" for d in dirs])
 
+    def read_side(self, name: str, schema: T.StructType, partitions: list[str] | None = None, version: int | None = None) -> DataFrame:
+        return self._open(self.manifest(version).get("side", {}).get(name, {}), schema, partitions)
+
     # -- writing ------------------------------------------------------------------------------------------------
 
     def _write(self, df: DataFrame, partition_by: str | None) -> dict[str, list[str]]:
@@ -140,8 +148,9 @@ class VersionedTable:
         unescape = self.files.jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.unescapePathName
         return {unescape(n[4:]): [f"{commit}/{n}"] for n in self.files.names(f"{self.path}/data/{commit}") if n.startswith("__p=")}
 
-    def check(self, df: DataFrame) -> None:
-        """Raise WriteRefused unless columns, types, not-null columns and constraints all hold. One pass over ``df``."""
+    def check(self, df: DataFrame, unique: list[str] | None = None) -> None:
+        """Raise WriteRefused unless columns, types, not-null columns and constraints all hold, and no two rows have the
+        same ``unique`` columns. One pass over ``df``."""
         m = self.manifest()
         schema = T.StructType.fromJson(m["schema"])
         want, got = {f.name: f for f in schema}, {f.name: f for f in df.schema}
@@ -152,8 +161,15 @@ class VersionedTable:
         if wrong := [f"{n}: {got[n].dataType.simpleString()} is not {f.dataType.simpleString()}" for n, f in want.items() if got[n].dataType != f.dataType]:
             raise WriteRefused("wrong types: " + "; ".join(wrong))
         tests = violation_counts(schema, m["constraints"])
-        if tests:
+        if unique:
+            some = {n: f"__v{i}" for i, n in enumerate(tests)}
+            groups = df.groupBy(*[F.col(f"`{k}`") for k in unique]).agg(F.count("*").alias("__n"), *[c.alias(some[n]) for n, c in tests.items()])
+            row = groups.agg(F.max("__n").alias("__n"), *[F.coalesce(F.sum(v), F.lit(0)).alias(n) for n, v in some.items()]).first()
+            if (row["__n"] or 0) > 1:
+                raise WriteRefused(f"several rows have the same {unique}")
+        elif tests:
             row = df.agg(*[c.alias(n) for n, c in tests.items()]).first()
+        if tests:
             if broken := [f"{n} ({row[n]} rows)" for n in tests if row[n]]:
                 raise WriteRefused("violated: " + ", ".join(broken))
 
@@ -161,28 +177,49 @@ class VersionedTable:
         self.check(df)
         m = self.manifest()
         new = self._write(df.select([f["name"] for f in m["schema"]["fields"]]), m["partition_by"])
-        parts = {p: m["parts"].get(p, []) + new.get(p, []) for p in {*m["parts"], *new}}
-        return self._commit(m["version"] + 1, operation, {}, parts, T.StructType.fromJson(m["schema"]), m["partition_by"], m["constraints"])
+        return self.put(m, operation, {}, added=new)
 
     def replace(self, df: DataFrame, partitions: list[str] | None, operation: str, metrics: dict, base: dict | None = None) -> int:
         """Atomically put ``df`` in the place of ``partitions`` (None: of everything). Others aren't touched."""
         m = base or self.manifest()
         new = self._write(df.select([f["name"] for f in m["schema"]["fields"]]), m["partition_by"])
-        kept = {} if partitions is None else {p: d for p, d in m["parts"].items() if p not in partitions}
-        if clash := kept.keys() & new.keys():
-            raise ValueError(f"rows for partitions that aren't replaced: {sorted(clash)[:5]}")
-        return self._commit(m["version"] + 1, operation, metrics, kept | new, T.StructType.fromJson(m["schema"]), m["partition_by"], m["constraints"])
+        if clash := sorted(p for p in new if partitions is not None and p in m["parts"] and p not in partitions):
+            raise ValueError(f"rows for partitions that aren't replaced: {clash[:5]}")
+        return self.put(m, operation, metrics, added=new, dropped=partitions)
+
+    def put(self, base: dict, operation: str, metrics: dict, added: dict[str, list[str]], dropped: list[str] | None = (), side: dict[str, tuple[dict[str, list[str]], list[str] | None]] | None = None) -> int:
+        """One commit on top of ``base``: of the table and of each side that is named, the folders of the ``dropped``
+        partitions (None: of all) go and the ``added`` ones come. ``side``: name -> (added, dropped)."""
+
+        def merged(old: dict, add: dict, drop) -> dict:
+            kept = {} if drop is None else {p: d for p, d in old.items() if p not in set(drop)}
+            return {p: kept.get(p, []) + add.get(p, []) for p in {*kept, *add}}
+
+        sides = dict(base.get("side", {}))
+        for name, (add, drop) in (side or {}).items():
+            sides[name] = merged(sides.get(name, {}), add, drop)
+        return self._commit(base["version"] + 1, operation, metrics, merged(base["parts"], added, dropped), T.StructType.fromJson(base["schema"]), base["partition_by"], base["constraints"], sides)
 
     def merge(self, source: DataFrame, keys: list[str], guard: Callable[[Callable, Callable], Column] | None = None, delete_unmatched: bool = False) -> dict:
-        """Upsert ``source``; returns the metrics that the history holds too. Two source rows of one key are refused."""
+        """Upsert ``source``; returns the metrics that the history holds too. Two source rows of one key are refused. Where
+        the table is partitioned by a key, only the partitions that the source has rows for are read and replaced."""
         m = self.manifest()
-        self.check(source)
-        if source.groupBy(*keys).count().where("count > 1").limit(1).count():
-            raise WriteRefused(f"several source rows have the same {keys}")
-        merged = merge_frames(self.read(), source, keys, guard, delete_unmatched)
-        counts = {r["__action"]: r["count"] for r in merged.groupBy("__action").count().collect()}
-        metrics = {"numInserted": counts.get("insert", 0), "numUpdated": counts.get("update", 0), "numKept": counts.get("keep", 0), "numDeleted": counts.get("delete", 0)}
-        self.replace(merged.where("__action <> 'delete'"), None, "MERGE", metrics, base=m)
+        self.check(source, keys)
+        by = m["partition_by"]
+        hit = None
+        if by in keys and not delete_unmatched:
+            part = F.coalesce(F.col(f"`{by}`").cast("string"), F.lit("__null__"))
+            hit = sorted({r[0] for r in source.select(part).distinct().collect()} & m["parts"].keys())  # names of partitions
+        target = self.read(m["version"], hit)
+        merged = merge_frames(target, source, keys, guard, delete_unmatched).where("__action <> 'delete'")
+        new = self._write(merged.select(*[f["name"] for f in m["schema"]["fields"]], "__action"), by)
+        # the files have the action beside the table's columns, so the counts cost no second join
+        counts = {r["__action"]: r["count"] for r in self._open(new, T.StructType([T.StructField("__action", T.StringType())])).groupBy("__action").count().collect()}
+        metrics = {"numInserted": counts.get("insert", 0), "numUpdated": counts.get("update", 0), "numKept": counts.get("keep", 0)}
+        metrics["numDeleted"] = target.count() - metrics["numUpdated"] - metrics["numKept"] if delete_unmatched else 0
+        if hit is not None:  # rows of partitions that aren't touched are counted from the footers of their files
+            metrics["numKept"] += self.read(m["version"], sorted(m["parts"].keys() - set(hit))).count()
+        self.put(m, "MERGE", metrics | {"partitionsReplaced": len(m["parts"] if hit is None else hit), "partitionsBefore": len(m["parts"])}, added=new, dropped=hit)
         return metrics
 
 
