@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from tickforge.functions.scalars import norm_ticker
 from tickforge.operators import anomalies, late, profile, redelivery, rejects, rolling
-from tickforge.workspace import read, written
+from tickforge.streaming.periods import replay
+from tickforge.workspace import read, shared_path, written
 
 
 def _kept(spark: SparkSession, d: str) -> DataFrame:
@@ -46,16 +47,29 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return anomalies.flag_readings(redelivery.keep_first(quotes))
 
 
+def _period_feed(spark: SparkSession, d: str) -> DataFrame:
+    return read(spark, d, "silver_quotes").select("row_id", "ticker", "trade_date", "event_ts", "ingest_ts", "high", "low", "close", "volume")
+
+
+def _periods(spark: SparkSession, d: str) -> late.PeriodStore:
+    return late.feed(written(redelivery.keep_first(_period_feed(spark, d)), "kept"), shared_path(spark, "periods"))
+
+
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
-    return late.late_rows(_kept(spark, d))
+    return _periods(spark, d).apart().select("row_id", "status")
 
 
 def p6_daily_as_of(spark: SparkSession, d: str) -> DataFrame:
-    return late.daily_as_of(_kept(spark, d))
+    return _periods(spark, d).log()
 
 
 def p6_expired_report(spark: SparkSession, d: str) -> DataFrame:
-    return late.expired_report(_kept(spark, d)).select("ticker", "period", "dropped")
+    return late.expired_report(_periods(spark, d).apart("expired")).select("ticker", "period", "dropped")
+
+
+def p6_streamed(spark: SparkSession, d: str) -> DataFrame:
+    """The final periods of the feed with all its copies, streamed in three micro-batches."""
+    return replay(_period_feed(spark, d), shared_path(spark, "stream")).current()
 
 
 def _day_values(spark: SparkSession, d: str) -> DataFrame:
@@ -79,7 +93,7 @@ def p7_corrected(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES = {
-    f.__name__: f for f in (p1_found, p2_found, p2_profile, p3_found, p3_loaded, p4_found, p6_found, p6_daily_as_of, p6_expired_report, p7_rolling_totals, p7_corrected)
+    f.__name__: f for f in (p1_found, p2_found, p2_profile, p3_found, p3_loaded, p4_found, p6_found, p6_daily_as_of, p6_expired_report, p6_streamed, p7_rolling_totals, p7_corrected)
 }
 
 # -- SQL --------------------------------------------------------------------------------------------------------
@@ -163,6 +177,15 @@ _ROUTED = f"""{_KEPT}, routed AS (
   FROM kept WHERE event_ts IS NOT NULL AND ingest_ts IS NOT NULL)"""
 
 
+_DAILY = f"""WITH {_ROUTED}, st AS (
+  SELECT tk AS ticker, period, as_of_date, count(*) AS messages, count(*) FILTER (status = 'late') AS late_messages, sum(volume) AS volume, max(high) AS high, min(low) AS low,
+         max({{'e': event_ts, 'r': row_id, 'c': close}}) AS lq
+  FROM routed WHERE status <> 'expired' GROUP BY ALL)
+SELECT ticker, period, as_of_date, CAST(sum(messages) OVER w AS BIGINT) AS messages, CAST(sum(late_messages) OVER w AS BIGINT) AS late_messages, CAST(sum(volume) OVER w AS BIGINT) AS volume,
+       max(high) OVER w AS high, min(low) OVER w AS low, as_of_date = max(as_of_date) OVER (PARTITION BY ticker, period) AS is_final, (max(lq) OVER w).c AS close
+FROM st WINDOW w AS (PARTITION BY ticker, period ORDER BY as_of_date ROWS UNBOUNDED PRECEDING)"""
+
+
 def _p7_sql(total: str = "list_aggregate(list(close) FILTER (close IS NOT NULL) {over}, 'fsum')") -> str:
     out = []
     for w in (7, 30):
@@ -186,13 +209,8 @@ FROM silver_quotes) WHERE rn > 1""",
 SELECT batch_id, column_name, feed, n AS rows, null_rows / n AS null_share, distinct_values, median_value, null_rows, outside_rows FROM prof""",
     "p4_found": _p4_sql(),
     "p6_found": f"WITH {_ROUTED} SELECT row_id, status FROM routed WHERE status <> 'on_time'",
-    "p6_daily_as_of": f"""WITH {_ROUTED}, st AS (
-  SELECT tk AS ticker, period, as_of_date, count(*) AS messages, count(*) FILTER (status = 'late') AS late_messages, sum(volume) AS volume, max(high) AS high, min(low) AS low,
-         max({{'e': event_ts, 'r': row_id, 'c': close}}) AS lq
-  FROM routed WHERE status <> 'expired' GROUP BY ALL)
-SELECT ticker, period, as_of_date, CAST(sum(messages) OVER w AS BIGINT) AS messages, CAST(sum(late_messages) OVER w AS BIGINT) AS late_messages, CAST(sum(volume) OVER w AS BIGINT) AS volume,
-       max(high) OVER w AS high, min(low) OVER w AS low, as_of_date = max(as_of_date) OVER (PARTITION BY ticker, period) AS is_final, (max(lq) OVER w).c AS close
-FROM st WINDOW w AS (PARTITION BY ticker, period ORDER BY as_of_date ROWS UNBOUNDED PRECEDING)""",
+    "p6_daily_as_of": _DAILY,
+    "p6_streamed": f"SELECT ticker, period, as_of_date, messages, late_messages, volume, high, low, close FROM ({_DAILY}) WHERE is_final",
     "p6_expired_report": f"WITH {_ROUTED} SELECT tk AS ticker, period, count(*) AS dropped FROM routed WHERE status = 'expired' GROUP BY ALL",
     "p7_rolling_totals": _p7_sql(),
     "p7_corrected": _p7_sql(),
