@@ -1,14 +1,15 @@
 """Markup removal, sectioning and chunking of filings.
 
-Chunk borders depend on where the last chunk ended, so a text is cut by a small recurrence in an Arrow stage; all else
-is Column expressions."""
+Where a chunk ends depends on where it began, so chunks come from an Arrow stage. It scans a text for its breaks once and
+then finds each chunk's end by binary search; a document's other columns go through the same stage, so nothing is joined
+back. All else is Column expressions."""
 
 from __future__ import annotations
 
 import html
 import re
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
-from html.parser import HTMLParser
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -29,43 +30,66 @@ HEADINGS = [
     ("Item 8", "Financial Statements and Supplementary Data", r"item\s*8\s*[\.\:\-–—]?\s*financial\s*statements", False),
 ]
 
-_SENTENCE_GAP = re.compile(r"(?<=[.!?])\s+")
+#: The share of a chunk in which it may not end at a break.
+_BODY = 0.6
+_BLANK_LINE, _AFTER_SENTENCE = re.compile(r"(?=\n\n)"), re.compile(r"(?<=[.!?])\s+")
+
+
+class Breaks:
+    """The places of a text where a chunk ends well."""
+
+    def __init__(self, text: str):
+        self.size = len(text)
+        self.blank = [m.start() for m in _BLANK_LINE.finditer(text)]
+        gaps = [m.span() for m in _AFTER_SENTENCE.finditer(text)]
+        self.gap_from, self.gap_to = [g[0] for g in gaps], [g[1] for g in gaps]
+
+    def best(self, low: int, high: int) -> int:
+        """The end of the last blank line within low..high, else of the last sentence's gap (as far as ``high``), else ``high``."""
+        k = bisect_right(self.blank, high - 2) - 1
+        if k >= 0 and self.blank[k] >= low:
+            return self.blank[k] + 2
+        k = bisect_left(self.gap_from, high) - 1
+        # the full stop before a gap has to lie within the range too
+        return min(self.gap_to[k], high) if k >= 0 and self.gap_from[k] > low else high
 
 
 def cut(text: str, size: int = CHUNK_CHARS, overlap: int = CHUNK_OVERLAP) -> list[tuple[int, int]]:
-    """Spans that cover ``text`` with overlaps. A span ends after the last blank line in its final two fifths, else after
-    the last sentence there, else at the size limit."""
-    spans, at, n = [], 0, len(text)
-    while at < n:
-        stop = at + size
-        if stop < n:
-            tail = at + int(size * 0.6)
-            blank = text.rfind("\n\n", tail, stop)
-            if blank >= 0:
-                stop = blank + 2
-            else:
-                gaps = [m.end() for m in _SENTENCE_GAP.finditer(text[tail:stop])]
-                stop = tail + gaps[-1] if gaps else stop
-        spans.append((at, min(stop, n)))
-        if stop >= n:
-            return spans
-        at = max(stop - overlap, at + 1)
-    return spans
-
-
-def chunk_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = CHUNK_CHARS, overlap: int = CHUNK_OVERLAP) -> DataFrame:
-    """id, chunk_index, char_start, char_end, body (stripped) of all spans, short ones too."""
-    size, overlap = size or CHUNK_CHARS, overlap or CHUNK_OVERLAP
+    """Spans of at most ``size`` characters that cover ``text``. Each reaches ``overlap`` characters back into the one
+    before, but begins at least one character after it, and ends at a break in its last two fifths if there is one."""
+    breaks = Breaks(text)
+    begins, ends = [0] if text else [], []
+    for begin in begins:  # grows while it is walked
+        limit = begin + size
+        ends.append(breaks.size if limit >= breaks.size else breaks.best(begin + int(size * _BODY), limit))
+        if ends[-1] < breaks.size:
+            begins.append(max(begin + 1, ends[-1] - overlap))
+    return list(zip(begins, ends))
+
+
+def chunk_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = CHUNK_CHARS, overlap: int = CHUNK_OVERLAP, keep: tuple[str, ...] = ()) -> DataFrame:
+    """id, the ``keep`` columns, chunk_index, char_start, char_end, body (stripped) of all spans, short ones too. A size or
+    overlap of 0 stands for the default; null and empty texts have no span; repeated ids are documents of their own."""
+    width, back = (x if x else default for x, default in ((size, CHUNK_CHARS), (overlap, CHUNK_OVERLAP)))
+    carried = [id_col, *[c for c in keep if c != id_col]]
+    kinds = {"chunk_index": pa.int32(), "char_start": pa.int32(), "char_end": pa.int32(), "body": pa.string()}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows = [(d, i, s, e, t[s:e].strip()) for d, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()) if t for i, (s, e) in enumerate(cut(t, size, overlap))]
-            cols = list(zip(*rows)) or [()] * 5
-            kinds = [b.schema.field(0).type, pa.int32(), pa.int32(), pa.int32(), pa.string()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], [id_col, "chunk_index", "char_start", "char_end", "body"])
-
-    src = docs.select(F.col(id_col), F.col(text_col).alias("__t")).where(F.col("__t").isNotNull())
-    return src.mapInArrow(run, f"{id_col} {dict(docs.dtypes)[id_col]}, chunk_index INT, char_start INT, char_end INT, body STRING")
+            row: list[int] = []
+            cells: dict[str, list] = {k: [] for k in kinds}
+            for at, whole in enumerate(b.column(len(carried)).to_pylist()):
+                for index, (begin, end) in enumerate(cut(whole or "", width, back)):
+                    row.append(at)
+                    for name, value in zip(kinds, (index, begin, end, whole[begin:end].strip())):
+                        cells[name].append(value)
+            of = pa.array(row, pa.int64())
+            yield pa.RecordBatch.from_arrays([*[b.column(k).take(of) for k in range(len(carried))], *[pa.array(cells[k], t) for k, t in kinds.items()]], [*carried, *kinds])
+
+    src = docs.select(*[F.col(f"`{c}`") for c in carried], F.col(text_col).alias("__t"))
+    fields = [f for f in src.schema if f.name != "__t"]
+    out = T.StructType([*fields, *[T.StructField(c, T.StringType() if c == "body" else T.IntegerType()) for c in kinds]])
+    return src.where(F.col("__t").isNotNull()).mapInArrow(run, out)
 
 
 def chunk_id(file: Column, item: Column, index: Column, body: Column) -> Column:
@@ -76,8 +100,9 @@ def chunk_id(file: Column, item: Column, index: Column, body: Column) -> Column:
 
 def chunks(sections: DataFrame, size: int = CHUNK_CHARS, overlap: int = CHUNK_OVERLAP, min_chars: int = MIN_CHUNK) -> DataFrame:
     """Chunks of sections (doc_id, source_file, item, text and provenance) that are long enough; indexes count all spans."""
-    spans = chunk_spans(sections, size=size, overlap=overlap).where(F.length("body") >= min_chars)
-    return spans.join(sections.drop("text"), "doc_id").withColumn("chunk_id", chunk_id(F.col("source_file"), F.col("item"), F.col("chunk_index"), F.col("body")))
+    own = ("chunk_index", "char_start", "char_end", "body", "chunk_id", "text")
+    spans = chunk_spans(sections, size=size, overlap=overlap, keep=tuple(c for c in sections.columns if c not in own))
+    return spans.where(F.length("body") >= min_chars).withColumn("chunk_id", chunk_id(F.col("source_file"), F.col("item"), F.col("chunk_index"), F.col("body")))
 
 
 def citation_label(ticker: Column, company: Column, form: Column, year: Column, item: Column, title: Column) -> Column:
@@ -88,55 +113,45 @@ def citation_label(ticker: Column, company: Column, form: Column, year: Column,
 
 # -- markup -----------------------------------------------------------------------------------------------------
 
-
-class _Text(HTMLParser):
-    def __init__(self):
-        super().__init__(convert_charrefs=True)
-        self.out, self.hidden = [], 0
-
-    def handle_starttag(self, tag, attrs):
-        self.hidden += tag in ("script", "style")
-
-    def handle_endtag(self, tag):
-        self.hidden = max(0, self.hidden - (tag in ("script", "style")))
-
-    def handle_data(self, data):
-        if not self.hidden:
-            self.out.append(data)
-
-
-_QUOTES = str.maketrans({"\xa0": " ", "’": "'", "“": '"', "”": '"'})
+_SKIPPED_PARTS = re.compile(r"<(?:TYPE|DESCRIPTION)>GRAPHIC.*?</DOCUMENT>|<XBRL>.*?</XBRL>", re.IGNORECASE | re.DOTALL)
+_IS_PAGE = re.compile(r"<(?:html|body|div|table|p)\b", re.IGNORECASE)
+#: What stands between the texts of a page: scripts and styles with their contents, comments, and tags.
+_BETWEEN = re.compile(r"<script\b.*?</script\s*>|<style\b.*?</style\s*>|<!--.*?-->|<[!?/a-z][^>]*>", re.IGNORECASE | re.DOTALL)
+_TYPEWRITER = {"\xa0": " ", "’": "'", "“": '"', "”": '"'}
+_RUNS = ((re.compile(r"[ \t]+"), " "), (re.compile(r"\n\s*\n\s*\n+"), "\n\n"))
 
 
 def plain_text(raw: str | None) -> str | None:
-    """A submission as prose: graphics, XBRL, scripts and tags out; quotes and blanks evened out."""
+    """A submission as prose: graphics and XBRL out; of a page the texts between the tags, one per line, with entities
+    resolved; quotes and blanks evened out. Text that is no page keeps its entities."""
     if raw is None:
         return None
-    raw = re.sub(r"(?is)<(?:TYPE|DESCRIPTION)>GRAPHIC.*?</DOCUMENT>|<XBRL>.*?</XBRL>", " ", raw)
-    if re.search(r"(?i)<(?:html|body|div|table|p)\b", raw):
-        p = _Text()
-        p.feed(raw)
-        p.close()
-        raw = "\n".join(p.out)
-    raw = re.sub(r"[ \t]+", " ", html.unescape(raw).translate(_QUOTES) if "&" in raw else raw.translate(_QUOTES))
-    return re.sub(r"\n\s*\n\s*\n+", "\n\n", raw).strip()
+    prose = _SKIPPED_PARTS.sub(" ", raw)
+    if _IS_PAGE.search(prose):
+        prose = "\n".join(html.unescape(part) for part in _BETWEEN.split(prose) if part)
+    for sign, plain in _TYPEWRITER.items():
+        prose = prose.replace(sign, plain)
+    for run, one in _RUNS:
+        prose = run.sub(one, prose)
+    return prose.strip()
+
+
+_ANY_HEADING = re.compile("|".join(f"(?P<h{k}>{h[2]})" for k, h in enumerate(HEADINGS)), re.IGNORECASE)
 
 
 def sections_of(text: str | None) -> list[tuple[str, str, str]]:
-    """(item, title, body) between the last occurrences of the headings, in text order; short and unwanted ones left out."""
-    if not text:
-        return []
-    marks = []
-    for item, title, pattern, wanted in HEADINGS:
-        last = None
-        for last in re.finditer(pattern, text, re.IGNORECASE):
-            pass
-        if last:
-            marks.append((last.start(), item, title, wanted))
-    marks.sort()
-    ends = [m[0] for m in marks[1:]] + [len(text)]
-    bodies = [(item, title, text[a:z].strip(), wanted) for (a, item, title, wanted), z in zip(marks, ends)]
-    return [(i, t, b) for i, t, b, w in bodies if w and len(b) >= MIN_SECTION]
+    """(item, title, body) in text order. A heading counts where it stands last; a section goes on to the next heading that
+    counts, wanted or not. Short and unwanted sections are left out."""
+    where = {int(m.lastgroup[1:]): m.start() for m in _ANY_HEADING.finditer(text or "")}  # later ones overwrite
+    out: list[tuple[str, str, str]] = []
+    end = len(text or "")
+    for k, begin in sorted(where.items(), key=lambda x: -x[1]):
+        item, title, _, wanted = HEADINGS[k]
+        body = text[begin:end].strip()
+        if wanted and len(body) >= MIN_SECTION:
+            out.insert(0, (item, title, body))
+        end = begin
+    return out
 
 
 def _arrow_map(df: DataFrame, col: str, out: T.StructField, fn) -> DataFrame:

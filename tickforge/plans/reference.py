@@ -421,18 +421,40 @@ def _docs(spark, d):
     return read(spark, d, "documents")
 
 
-@_query()
+# white space as Python has it, for RE2
+_SPACE = r"\s\x0b\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
+_LABEL = """concat(coalesce(nullif(trim(ticker), ''), nullif(trim(company), ''), ''), ' ', coalesce(form_type, ''), ' ', coalesce(nullif(trim(CAST(fiscal_year AS VARCHAR)), ''), 'n.d.'), ' · ',
+coalesce(item, ''), ' ', coalesce(section_title, ''))"""
+
+
+def _strip_sql(x: str) -> str:
+    return f"regexp_replace(regexp_replace({x}, '^[{_SPACE}]+', ''), '[{_SPACE}]+$', '')"
+
+
+_CHUNKS = f"""RECURSIVE walk(doc_id, chunk_index, begin, stop) AS (
+  SELECT doc_id, -1, 0, {text.CHUNK_OVERLAP} FROM documents WHERE length(text) > 0
+  UNION ALL
+  SELECT doc_id, chunk_index + 1, pos, CASE WHEN pos + {text.CHUNK_CHARS} >= n THEN n WHEN blank > 0 THEN low + length(tail) - blank + 1 WHEN said > 0 THEN low + said ELSE pos + {text.CHUNK_CHARS} END
+  FROM (SELECT *, strpos(reverse(tail), chr(10) || chr(10)) AS blank, length(regexp_extract(tail, '(?s)^(.*[.!?][{_SPACE}]+)', 1)) AS said
+    FROM (SELECT w.doc_id, chunk_index, pos, pos + {int(text.CHUNK_CHARS * 0.6)} AS low, length(d.text) AS n, substr(d.text, pos + {int(text.CHUNK_CHARS * 0.6)} + 1, {text.CHUNK_CHARS - int(text.CHUNK_CHARS * 0.6)}) AS tail
+      FROM (SELECT *, CASE WHEN chunk_index < 0 THEN 0 ELSE greatest(stop - {text.CHUNK_OVERLAP}, begin + 1) END AS pos FROM walk) w JOIN documents d ON d.doc_id = w.doc_id WHERE chunk_index < 0 OR stop < length(d.text)))),
+spans AS (SELECT w.doc_id, chunk_index, begin AS char_start, stop AS char_end, {_strip_sql("substr(d.text, begin + 1, stop - begin)")} AS body,
+  d.* EXCLUDE (doc_id, text) FROM walk w JOIN documents d ON d.doc_id = w.doc_id WHERE chunk_index >= 0),
+chunks AS (SELECT *, substr(sha1(concat(coalesce(source_file, ''), '|', coalesce(item, ''), '|', chunk_index, '|', substr(body, 1, 200))), 1, 16) AS chunk_id FROM spans WHERE length(body) >= {text.MIN_CHUNK})"""
+
+
+@_query(f"WITH {_CHUNKS} SELECT doc_id, chunk_index, char_start, char_end FROM spans")
 def chunk_spans(spark, d):
     return text.chunk_spans(_docs(spark, d)).select("doc_id", "chunk_index", "char_start", "char_end")
 
 
-@_query()
+@_query(f"WITH {_CHUNKS} SELECT chunk_id, doc_id, chunk_index, {_LABEL} AS citation_label FROM chunks")
 def chunk_ids(spark, d):
     c = text.chunks(_docs(spark, d))
     return c.select("chunk_id", "doc_id", "chunk_index", text.citation_label(*[F.col(x) for x in ("ticker", "company", "form_type", "fiscal_year", "item", "section_title")]).alias("citation_label"))
 
 
-@_query()
+@_query(f"WITH {_CHUNKS} SELECT item, count(*) AS chunks, count(DISTINCT source_file) AS files, round(avg(length(body)), 2) AS mean_chars FROM chunks GROUP BY item")
 def chunk_stats(spark, d):
     c = text.chunks(_docs(spark, d))
     return c.groupBy("item").agg(F.count("*").alias("chunks"), F.countDistinct("source_file").alias("files"), F.round(F.avg(F.length("body")), 2).alias("mean_chars"))
@@ -446,14 +468,28 @@ def citation_labels(spark, d):
     return _docs(spark, d).select("doc_id", text.citation_label(*[F.col(x) for x in ("ticker", "company", "form_type", "fiscal_year", "item", "section_title")]).alias("citation_label"))
 
 
-@_query()
+_PAGE_TEXT = """regexp_replace(translate(text, chr(160) || '’“”', ' ''""'), '[ \t]+', ' ', 'g')"""
+
+
+@_query(rf"SELECT doc_id, CASE WHEN text IS NOT NULL THEN {_strip_sql(rf"regexp_replace({_PAGE_TEXT}, '\n[{_SPACE}]*\n[{_SPACE}]*\n+', chr(10) || chr(10), 'g')")} END AS plain FROM documents")
 def page_text(spark, d):
     """Texts wrapped in markup, and back to prose."""
-    page = F.concat(F.lit("<html><head><style>p {}</style></head><body><p>"), F.col("text"), F.lit("</p><script>x()</script></body></html>"))
+    safe = F.replace(F.replace(F.replace("text", F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
+    page = F.concat(F.lit("<html><head><style>p {}</style></head><body><p>"), safe, F.lit("</p><script>x()</script></body></html>"))
     return text.strip_markup(_docs(spark, d).select("doc_id", page.alias("html")), "html").select("doc_id", "plain")
 
 
-@_query()
+def _sections_sql() -> str:
+    pattern = lambda p: p.replace(r"\s", f"[{_SPACE}]").replace("'", "''")
+    marks = " UNION ALL ".join(
+        f"SELECT doc_id, '{item}' AS item, '{title.replace(chr(39), chr(39) * 2)}' AS title, {str(wanted).lower()} AS wanted, length(regexp_extract(text, '(?is)^(.*){pattern(p)}', 1)) AS begin, text FROM documents WHERE regexp_matches(text, '(?is){pattern(p)}')"
+        for item, title, p, wanted in text.HEADINGS
+    )
+    cut = _strip_sql("substr(text, begin + 1, coalesce(lead(begin) OVER (PARTITION BY doc_id ORDER BY begin), length(text)) - begin)")
+    return f"WITH marks AS ({marks}), bodies AS (SELECT doc_id, item, title, wanted, {cut} AS body FROM marks) SELECT doc_id, item, title, body FROM bodies WHERE wanted AND length(body) >= {text.MIN_SECTION}"
+
+
+@_query(_sections_sql())
 def section_slices(spark, d):
     return text.split_sections(_docs(spark, d).select("doc_id", "text"))
 
