@@ -146,6 +146,46 @@ def test_label_model_recovers_a_noisy_truth():
     assert pairs.fit_label_model({}) == {}
 
 
+def test_label_model_knows_functions_that_copy_each_other():
+    """Three copies of one noisy vote and one good independent one: a product of all four would follow the copies."""
+    rng, patterns, truth = random.Random(5), {}, {}
+    for _ in range(6000):
+        y = rng.random() < 0.2
+        noisy, good = (y if rng.random() < acc else not y for acc in (0.85, 0.97))
+        p = "".join("+" if v else "-" for v in (noisy, noisy, noisy, good))
+        patterns[p] = patterns.get(p, 0) + 1
+        truth.setdefault(p, []).append(y)
+    errors = {}
+    for name, blocks in (("blocks", (3, 1)), ("independent", (1, 1, 1, 1))):
+        post = pairs.fit_label_model(patterns, blocks)
+        errors[name] = sum(sum(v != (post[p] >= 0.5) for v in ys) for p, ys in truth.items())
+    model = pairs.LabelModel((3, 1)).fit(patterns)
+    assert model.rho[0] > 0.9 and errors["blocks"] <= errors["independent"]
+
+
+def test_more_than_a_third_may_be_defective():
+    model = pairs.LabelModel((2, 1)).fit({"+++": 540, "---": 300, "++-": 60, "--+": 60, "+-+": 40})
+    assert model.prior > 0.5 and model.posterior("+++") > 0.9 and model.posterior("---") < 0.1
+
+
+def test_cutoffs_and_planted_defects():
+    assert pairs.best_cutoff([0.1, 0.2], [0.8, 0.9]) == 0.5 and 0.2 < pairs.best_cutoff([0.1, 0.2], [0.3, 0.9]) <= 0.3 and pairs.best_cutoff([], []) == 0.5
+    sample = [("What did Acme say about peak load?", "Acme reports that peak load rose by 5% in the year. It expects no further change."), ("Was sagt Acme über Strom?", "Das Unternehmen sagt, dass die Kosten für Strom im Jahr um 5 % stiegen.")] * 8
+    planted = pairs._plant(sample, ["I cannot answer that."])
+    assert all(planted[d] for d in pairs.PRECEDENCE)
+    votes = pairs.votes_of("What does Acme say about peak load in the winter?", "Spółka ostrzega, że wyniki mogą być słabsze niż oczekiwano w tym roku")
+    assert "+" in votes["language"]  # a language that no list has
+    assert pairs.votes_of("What does Acme say?", "Компания сообщает, что расходы выросли")["language"][4] == "+"
+
+
+def test_the_flag_is_one_vote(spark):
+    rows = [(k, "What did Acme say about peak load?", f"Acme reports that peak load rose by {k}% in the year.", k % 5 == 0) for k in range(1, 60)]
+    rows += [(100 + k, "What did Acme say about peak load?", "I cannot answer this question.", None) for k in range(9)]
+    df = spark.createDataFrame(rows, "answer_id BIGINT, question STRING, answer STRING, refused BOOLEAN")
+    assert {r["answer_id"]: r["defect"] for r in pairs.one_defect(df).collect()} == {100 + k: "refusal" for k in range(9)}
+    assert pairs.rules_compared(df).where("defect = 'refusal'").first()["by_any"] > 9
+
+
 # -- subjects ---------------------------------------------------------------------------------------------------
 
 TOPICS = {

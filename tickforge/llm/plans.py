@@ -18,6 +18,11 @@ def p5_labels(spark: SparkSession, d: str) -> DataFrame:
     return pairs.pair_labels(read(spark, d, "grounded_answers")).where(F.size("defects") > 0)
 
 
+def p5_rules(spark: SparkSession, d: str) -> DataFrame:
+    """What the label model decides, against any vote and a majority of votes."""
+    return pairs.rules_compared(read(spark, d, "grounded_answers"))
+
+
 def p8_ids(spark: SparkSession, d: str) -> DataFrame:
     return encoding.encode_texts(read(spark, d, "documents"))
 
@@ -36,5 +41,5 @@ def p10_found(spark: SparkSession, d: str) -> DataFrame:
     return subjects.propagate(read(spark, d, "documents"), read(spark, d, "subject_areas"), read(spark, d, "subject_labels"))
 
 
-QUERIES = {f.__name__: f for f in (p5_found, p5_labels, p8_ids, p9_mix, p9_shares, p10_found)}
+QUERIES = {f.__name__: f for f in (p5_found, p5_labels, p5_rules, p8_ids, p9_mix, p9_shares, p10_found)}
 SQL: dict[str, str] = {}
