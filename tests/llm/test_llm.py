@@ -69,7 +69,7 @@ def test_mixture_meets_its_targets(spark):
     rows += [(9001, "mid", None), (9002, "mid", "")]
     docs = spark.createDataFrame(rows, "doc_id BIGINT, source STRING, text STRING")
     targets = spark.createDataFrame([("big", 0.5, 2), ("mid", 0.3, 3), ("small", 0.2, 4), ("absent", 0.0, 2)], "source STRING, target_share DOUBLE, max_repeats INT")
-    mixed, shares = mixture.mix(docs, targets)
+    mixed, shares = mixture.mix(docs, targets, keep_tokens=True)
     got = mixed.groupBy("source").agg(F.sum("n_tokens").alias("n"), F.max("copy").alias("m")).collect()
     total = sum(r["n"] for r in got)
     caps = {"big": 2, "mid": 3, "small": 4}
@@ -85,6 +85,17 @@ def test_mixture_meets_its_targets(spark):
     assert mixture.mix(docs.limit(0), targets)[0].count() == 0
 
 
+def test_small_rates_keep_their_size(spark):
+    """Targets of a few thousandths and less of a source, far below one step of a coarse histogram."""
+    docs = spark.range(60000).select(F.col("id").alias("doc_id"), F.when(F.col("id") < 200, "small").otherwise("huge").alias("source"), F.lit("one two").alias("text"))
+    for total, wanted in ((3000, 300), (2100, 30)):
+        targets = spark.createDataFrame([("huge", wanted / total, 3), ("small", 1 - wanted / total, 50)], "source STRING, target_share DOUBLE, max_repeats INT")
+        mixed, shares = mixture.mix(docs, targets, total_tokens=total)
+        got = {r["source"]: r["mixed_tokens"] for r in shares.collect()}
+        assert abs(got["huge"] - wanted) <= 2 and abs(got["small"] - (total - wanted)) <= 2
+        assert mixed.where("source = 'huge'").count() * 2 == got["huge"]
+
+
 def test_poisson_inversion():
     import numpy as np
 
