@@ -7,13 +7,18 @@ from documents to the phrases of their sentences and back:
 
 1. documents -> phrases: of the occurrences of a phrase, the share that lies in documents of each subject. Seeds have
    all their subjects, so the first round counts in seeds only; the label sets found later may lack some, so later
-   rounds count all occurrences, or what such a document lacks would pass for what it has. An edge to a phrase counts only if it is verified: one subject holds a clear majority of its occurrences
-   and stands clear of the next. Wording that goes with any subject thereby drops out of the graph.
+   rounds count all occurrences, or what such a document lacks would pass for what it has. An edge to a phrase counts only
+   if it is verified: one subject holds a clear majority of its occurrences and stands clear of the next; in the first
+   round it also has its share of all occurrences in the corpus, as far as seeds go (``LIFT``), so that wording which is
+   common everywhere and merely happens to stand in few seeds is none; and in later rounds the seeds that have the phrase
+   don't speak against it (``VETO``). Wording that goes with any subject thereby drops out of the graph, for good where the
+   seeds show it.
 2. phrases -> sentences: a sentence takes the subject that its verified phrases agree on.
 3. sentences -> documents: a document gets every subject of at least ``MIN_SENTENCES`` of its sentences.
 
 Trusted seeds are clamped: their label sets are put back before each round and are part of the result. The first round
-starts from the seeds alone; later rounds use all documents. Documents keep as many subjects as they have.
+starts from the seeds alone; later rounds use all documents. Rounds go on until the number of labels changes by less than
+``CONVERGED``, at most ``ROUNDS``. Documents keep as many subjects as they have.
 
 Defined cases: a null, empty or contentless text has no subject beyond its seed labels; repeated texts get equal
 subjects; seed labels of unknown documents or subjects that aren't in the list are passed through as given; rows with
@@ -33,9 +38,12 @@ from pyspark.sql import functions as F
 from tickforge.workspace import written
 
 MIN_SENTENCES = 3
-ROUNDS = 3
+ROUNDS, CONVERGED = 12, 0.02
 #: A phrase is verified if its first subject has this share of its occurrences, and this much more than the second.
 MAJORITY, MARGIN, MIN_OCCURRENCES = 0.6, 0.25, 2
+#: Of the occurrences that a phrase would have in seeds if all its documents were as often seeds as others, the least share
+#: for its subject. Occurrences in seeds from which on they can speak against a subject.
+LIFT, VETO = 0.4, 2
 
 _INVISIBLE = dict.fromkeys([0xAD, 0x200B, 0x200C, 0x200D, 0x2060, 0xFEFF])
 _BREAK = re.compile(r"(\w)[-‐‑][ \t]*\r?\n[ \t]*(?=\w)")
@@ -44,24 +52,27 @@ _UNITS = re.compile(r"\b(mio|mrd|tsd|nr|no|vs|approx|bzw)\.", re.IGNORECASE)
 _FIRMS = re.compile(r"\b(inc|corp|co|ltd)\.(?!\s+[A-ZÀ-Þ¿¡])", re.IGNORECASE)
 _ENDS = re.compile(r"(?<=[.!?…])[\"'”’»)\]]*\s+")
 _WORDS = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)*")
+_HYPHEN = re.compile(r"(?<=\w)[-‐‑](?=\w)")
+#: What is left of accents when letters are taken apart.
+_ACCENTS = {c: None for c in range(0x300, 0x1E95B) if unicodedata.combining(chr(c))}
 
 
 def plain(text: str) -> str:
-    """Compatibility form without accents and invisible characters, hyphenation at line ends undone."""
-    text = unicodedata.normalize("NFKD", text.translate(_INVISIBLE))
-    return "".join(c for c in text if not unicodedata.combining(c))
+    """Compatibility form without accents and invisible characters."""
+    return text if text.isascii() else unicodedata.normalize("NFKD", text.translate(_INVISIBLE)).translate(_ACCENTS)
 
 
 def sentence_words(text: str | None, company: str | None = None) -> list[str]:
-    """The sentences of a text as lower-case words joined by blanks: no digits, no hyphens, no company name."""
+    """The sentences of a text as lower-case words joined by blanks: no digits, no hyphens, no company name; hyphenation at
+    line ends undone."""
     if not text:
         return []
     name = " ".join(_WORDS.findall(plain(company).replace("-", "").lower())) if company else ""
     out = []
     for paragraph in _PARAGRAPH.split(_BREAK.sub(r"\1", plain(text))):
         flat = _FIRMS.sub(r"\1", _UNITS.sub(r"\1", " ".join(paragraph.split())))
-        for s in _ENDS.split(flat):
-            words = " ".join(_WORDS.findall(re.sub(r"(?<=\w)[-‐‑](?=\w)", "", s).replace("’", "'").lower()))
+        for s in _ENDS.split(_HYPHEN.sub("", flat).replace("’", "'").lower()):
+            words = " ".join(_WORDS.findall(s))
             if name and name in words:
                 words = " ".join(words.replace(name, " ").split())
             if words:
@@ -110,9 +121,13 @@ def propagate(documents: DataFrame, areas: DataFrame, seeds: DataFrame, rounds:
     held = whole.select("doc_id", "type", "n")
     types = whole.groupBy("type").agg(F.first("words").alias("words"))
     edges = written(types.select("type", F.explode(_phrases(F.col("words"))).alias("phrase")).select("type", F.xxhash64("phrase").alias("phrase")), "sentence-phrases")
-    labels, said, found = clamped, None, None
+    # how often each phrase stands in the corpus, and the share of the corpus that seeds make up
+    sizes = held.groupBy("type").agg(F.sum("n").alias("n"))
+    everywhere = edges.join(sizes, "type").groupBy("phrase").agg(F.sum("n").alias("everywhere"))
+    part = held.join(clamped.select("doc_id"), "doc_id", "left_semi").agg(F.sum("n")).first()[0] or 0
+    seeded = part / (held.agg(F.sum("n")).first()[0] or 1)
+    labels, said, found, before = clamped, None, None, 0
     for r in range(rounds):
-        last = r == rounds - 1
         # 1. documents -> sentence types -> phrases
         hits = [F.sum(F.when(F.array_contains("subjects", s), F.col("n")).otherwise(F.lit(0))).alias(f"c_{i}") for i, s in enumerate(names)]
         evidence = held.join(labels, "doc_id", "inner" if r == 0 else "left").groupBy("type").agg(F.sum("n").alias("total"), *hits)
@@ -120,6 +135,13 @@ def propagate(documents: DataFrame, areas: DataFrame, seeds: DataFrame, rounds:
             evidence = evidence.join(said, "type", "left").select("type", "total", *[F.when(F.col("subject") == s, F.col("total")).otherwise(F.col(f"c_{i}")).alias(f"c_{i}") for i, s in enumerate(names)])
         tally = edges.join(evidence, "type").groupBy("phrase").agg(F.sum("total").alias("total"), *[F.sum(f"c_{i}").alias(f"c_{i}") for i in range(len(names))])
         best = tally.where(F.col("total") >= MIN_OCCURRENCES).select("phrase", "total", _top_two(names).alias("t"))
+        if r == 0:
+            best = best.join(everywhere, "phrase").where(F.col("t")[0]["v"] >= LIFT * seeded * F.col("everywhere"))
+            among = F.array(*[F.col(f"c_{i}") for i in range(len(names))])
+            by_seeds = written(tally.where(F.col("total") >= VETO).select("phrase", F.col("total").alias("s_total"), among.alias("s_c")), "seed-phrases")
+        else:
+            for_it = F.element_at(F.map_from_arrays(F.array(*[F.lit(x) for x in names]), F.col("s_c")), F.col("t")[0]["s"])
+            best = best.join(by_seeds, "phrase", "left").where(F.col("s_total").isNull() | (for_it >= 0.5 * F.col("s_total")))
         first, second = F.col("t")[0]["v"] / F.col("total"), F.col("t")[1]["v"] / F.col("total") if len(names) > 1 else F.lit(0.0)
         verified = best.where((first >= MAJORITY) & (first - second >= MARGIN)).select("phrase", F.col("t")[0]["s"].alias("subject"), (first - second).alias("weight"))
         # 2. phrases -> sentence types
@@ -128,8 +150,14 @@ def propagate(documents: DataFrame, areas: DataFrame, seeds: DataFrame, rounds:
         said = written(said, f"sentences-{r}")
         # 3. sentence types -> documents
         found = held.join(said, "type").groupBy("doc_id", "subject").agg(F.sum("n").alias("sentences")).where(F.col("sentences") >= MIN_SENTENCES).select("doc_id", "subject")
-        if not last:
-            found = written(found, f"labels-{r}")
-            free = found.join(clamped, "doc_id", "left_anti").groupBy("doc_id").agg(F.collect_set("subject").alias("subjects"))
-            labels = clamped.unionByName(free)
+        found = written(found, f"labels-{r}")
+        n = found.count()
+        if r + 1 == rounds or (r and abs(n - before) <= CONVERGED * before):
+            break
+        before = n
+        free = found.join(clamped, "doc_id", "left_anti").groupBy("doc_id").agg(F.collect_set("subject").alias("subjects"))
+        labels = clamped.unionByName(free)
+        if r == 0:  # phrases that the seeds have with any subject can't be verified later; most of the edges lead to such
+            idle = by_seeds.where(F.array_max("s_c") < 0.5 * F.col("s_total")).select("phrase")
+            edges = written(edges.join(idle, "phrase", "left_anti"), "sentence-phrases")
     return found.unionByName(seeds).distinct() if keep_seeds else found
