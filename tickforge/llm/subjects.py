@@ -45,7 +45,7 @@ MAJORITY, MARGIN, MIN_OCCURRENCES = 0.6, 0.25, 2
 #: for its subject. Occurrences in seeds from which on they can speak against a subject.
 LIFT, VETO = 0.4, 2
 
-_INVISIBLE = dict.fromkeys([0xAD, 0x200B, 0x200C, 0x200D, 0x2060, 0xFEFF])
+_INVISIBLE = re.compile("[\xad\u200b\u200c\u200d\u2060\ufeff]+")
 _BREAK = re.compile(r"(\w)[-‐‑][ \t]*\r?\n[ \t]*(?=\w)")
 _PARAGRAPH = re.compile(r"\n[ \t\r\xa0]*\n")
 _UNITS = re.compile(r"\b(mio|mrd|tsd|nr|no|vs|approx|bzw)\.", re.IGNORECASE)
@@ -54,12 +54,18 @@ _ENDS = re.compile(r"(?<=[.!?…])[\"'”’»)\]]*\s+")
 _WORDS = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)*")
 _HYPHEN = re.compile(r"(?<=\w)[-‐‑](?=\w)")
 #: What is left of accents when letters are taken apart.
-_ACCENTS = {c: None for c in range(0x300, 0x1E95B) if unicodedata.combining(chr(c))}
+_ACCENTS = re.compile("[" + "".join(chr(c) for c in range(0x300, 0x1E95B) if unicodedata.combining(chr(c))) + "]+")
+
+
+_LATIN_ACCENTS, _OTHER_SCRIPTS = re.compile("[\u0300-\u036f]+"), re.compile("[\u0483-\u1fff\u20d0-\u20ff\u2c00-\u2dff\u3000-\U0001e95a]")
 
 
 def plain(text: str) -> str:
     """Compatibility form without accents and invisible characters."""
-    return text if text.isascii() else unicodedata.normalize("NFKD", text.translate(_INVISIBLE)).translate(_ACCENTS)
+    if text.isascii():
+        return text
+    text = _LATIN_ACCENTS.sub("", unicodedata.normalize("NFKD", _INVISIBLE.sub("", text)))
+    return _ACCENTS.sub("", text) if _OTHER_SCRIPTS.search(text) else text
 
 
 def sentence_words(text: str | None, company: str | None = None) -> list[str]:
@@ -69,9 +75,11 @@ def sentence_words(text: str | None, company: str | None = None) -> list[str]:
         return []
     name = " ".join(_WORDS.findall(plain(company).replace("-", "").lower())) if company else ""
     out = []
-    for paragraph in _PARAGRAPH.split(_BREAK.sub(r"\1", plain(text))):
+    flat = plain(text)
+    hyphens = "-" in flat or "‐" in flat or "‑" in flat
+    for paragraph in _PARAGRAPH.split(_BREAK.sub(r"\1", flat) if hyphens else flat):
         flat = _FIRMS.sub(r"\1", _UNITS.sub(r"\1", " ".join(paragraph.split())))
-        for s in _ENDS.split(_HYPHEN.sub("", flat).replace("’", "'").lower()):
+        for s in _ENDS.split((_HYPHEN.sub("", flat) if hyphens else flat).replace("’", "'").lower()):
             words = " ".join(_WORDS.findall(s))
             if name and name in words:
                 words = " ".join(words.replace(name, " ").split())
