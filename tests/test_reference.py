@@ -241,3 +241,50 @@ def test_entry_lists_queries_and_sql():
     q, s = e.queries(), e.oracle_sql()
     assert set(s) <= set(q)
     assert {"p1_found", "p2_found", "p3_found", "p4_found", "p6_found", "p7_rolling_totals"} <= set(q)
+
+
+# -- index and answers ------------------------------------------------------------------------------------------
+
+
+def filings_frame(spark, rows):
+    cols = "doc_id BIGINT, text STRING, source_file STRING, item STRING, ticker STRING, company STRING, form_type STRING, fiscal_year INT, section_title STRING"
+    return spark.createDataFrame([(i, t, f"{i}.htm", "Item 1", "AC", "Acme", "10-K", 2020, "Business") for i, t in rows], cols)
+
+
+def test_index_is_synced_and_answers_are_cited(spark, tmp_path):
+    from tickforge.operators import answering
+
+    texts = {1: "Wind turbines raise the costs of spare parts. " * 6, 2: "Jury verdicts may lead to large damages for the group. " * 6, 3: "Season tickets sell slowly in smaller towns this year. " * 6}
+    index = answering.ChunkIndex(spark, f"file://{tmp_path}/index")
+    assert index.build(filings_frame(spark, texts.items())) == {"embedded": 3, "reused": 0, "removed": 0}
+    assert index.build(filings_frame(spark, texts.items())) == {"embedded": 0, "reused": 3, "removed": 0}
+    texts[4] = "Peak load strains the power grid every winter evening. " * 6
+    del texts[3]
+    assert index.build(filings_frame(spark, texts.items())) == {"embedded": 1, "reused": 2, "removed": 1}
+    asked = spark.createDataFrame([(1, "Which jury verdicts?"), (2, "season tickets"), (3, "???"), (4, None)], "query_id BIGINT, question STRING")
+    sparse = [(r["query_id"], r["rank"]) for r in index.sparse(asked).collect()]
+    assert sparse == [(1, 1)]  # the deleted chunk's postings are gone
+    answers, audit = answering.answer_questions(index, asked)
+    got = {r["query_id"]: r for r in answers.collect()}
+    assert got[1]["answer"].startswith("Jury verdicts may lead") and "[S1]" in got[1]["answer"] and not got[1]["refused"] and got[1]["warnings"] == []
+    assert got[4]["refused"] and got[4]["sources_supplied"] == 0
+    rows = {r["query_id"]: r for r in audit.collect()}
+    assert rows[1]["unresolved"] == 0 and rows[1]["cited"] == got[1]["sources_supplied"] > 0 and rows[1]["found_by_both"] >= 1
+    total = answering.demo_summary(answers, audit).first()
+    assert (total["questions"], total["refused"] + total["answered"]) == (4, 4)
+    with pytest.raises(ValueError):
+        index.build(filings_frame(spark, [(1, "short")]))
+
+
+def test_plug_ins_are_asked_and_may_be_missing(spark, tmp_path):
+    from tickforge.operators import answering
+
+    sections = filings_frame(spark, [(1, "Wind turbines raise the costs of spare parts. " * 6)])
+    odd = answering.Plugins(generate=lambda p: p.withColumn("answer", F.lit("It rose [S1][S7][S99999999999].")), score=lambda p: p.withColumn("rerank_score", F.lit(None).cast("double")))
+    index = answering.ChunkIndex(spark, f"file://{tmp_path}/a", odd)
+    index.build(sections)
+    answers, audit = answering.answer_questions(index, spark.createDataFrame([(1, "wind costs")], "query_id BIGINT, question STRING"))
+    assert answers.first()["warnings"] == ["The answer cites a source that was not supplied."]
+    assert (audit.first()["cited"], audit.first()["unresolved"]) == (3, 2)
+    with pytest.raises(answering.PluginUnavailable):
+        answering.ChunkIndex(spark, f"file://{tmp_path}/b", answering.Plugins(ready=lambda: "no model is served")).build(sections)

@@ -244,10 +244,13 @@ def excerpt(text: Column, n: int = EXCERPT) -> Column:
     return F.substring(text, 1, n)
 
 
-def source_block(passages: DataFrame) -> DataFrame:
-    """One row: the numbered block of passages for a prompt. ``passages``: final_rank, label, text; at most a few rows."""
-    line = F.concat(F.lit("[S"), F.col("final_rank").cast("string"), F.lit("] "), F.col("label"), F.lit("\n"), F.col("text"))
-    return passages.agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("final_rank", line.alias("l")))), lambda x: x["l"]), "\n\n").alias("block"))
+def best_of_each(scores: DataFrame, k: int, by: str = "query_id", tie: str = "id") -> DataFrame:
+    """The k best of each query by ``score``, ties by ``tie``, with 1-based ``rank``. Candidates of a query are first cut to k
+    in each of a few dozen salted groups, so that a query with very many doesn't gather them in one task."""
+    order = [F.col("score").desc(), F.col(tie)]
+    salted = scores.withColumn("__salt", F.pmod(F.xxhash64("id"), F.lit(32)))
+    few = salted.withColumn("rank", F.row_number().over(Window.partitionBy(by, "__salt").orderBy(*order))).where(F.col("rank") <= k).drop("rank", "__salt")
+    return few.withColumn("rank", F.row_number().over(Window.partitionBy(by).orderBy(*order)).cast("bigint")).where(F.col("rank") <= k)
 
 
 def index_sync(chunks: DataFrame, store: DataFrame, key: str = "chunk_id") -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tickforge import schemas
 from tickforge.functions.scalars import log_or_null
-from tickforge.operators import contract, expectations, medallion, metrics, retrieval, text
+from tickforge.operators import answering, contract, expectations, medallion, metrics, retrieval, text
 from tickforge.operators.tables import VersionedTable, WriteRefused, conform, merge_frames, violation_counts
 from tickforge.sources.fixtures import bars as _bars
 from tickforge.streaming.ingest import drain_payloads
@@ -683,6 +683,60 @@ def top_list_set_overlap(spark, d):
     return dense_set_top30(spark, d).select("query_id", "id").intersect(_fuse_set(spark, d, 60).where("final_rank <= 30").select("query_id", "id"))
 
 
+# The chain over stored chunks: every document whose id is divisible by 50 asks with its first sentence's words.
+
+
+def _chunk_index(spark, d, docs=None):
+    index = answering.ChunkIndex(spark, shared_path(spark, "index"))
+    return index, index.build(_docs(spark, d) if docs is None else docs)
+
+
+@_query(
+    f"""WITH {_CHUNKS}, b AS (SELECT DISTINCT chunk_id FROM chunks), a AS (SELECT DISTINCT chunk_id FROM chunks WHERE source IS DISTINCT FROM 'press_wire')
+SELECT 1 AS build, (SELECT count(*) FROM a) AS embedded, 0 AS reused, 0 AS removed UNION ALL SELECT 2, 0, (SELECT count(*) FROM a), 0
+UNION ALL SELECT 3, (SELECT count(*) FROM b WHERE chunk_id NOT IN (FROM a)), (SELECT count(*) FROM a), 0 UNION ALL SELECT 4, 0, (SELECT count(*) FROM a), (SELECT count(*) FROM b WHERE chunk_id NOT IN (FROM a))"""
+)
+def index_build(spark, d):
+    """Four builds: without one source, the same again, with it, and without it again."""
+    docs = _docs(spark, d)
+    some = docs.where(~F.col("source").eqNullSafe("press_wire"))
+    index, first = _chunk_index(spark, d, some)
+    rows = [first, index.build(some), index.build(docs), index.build(some)]
+    return spark.createDataFrame([(i + 1, r["embedded"], r["reused"], r["removed"]) for i, r in enumerate(rows)], "build INT, embedded BIGINT, reused BIGINT, removed BIGINT")
+
+
+_CHUNK_SPARSE = f"""{_CHUNKS}, c AS (SELECT chunk_id, min(body) AS body FROM chunks GROUP BY chunk_id), toks AS (SELECT chunk_id AS id, regexp_extract_all(lower(body), '[a-z0-9]+') AS ts FROM c),
+posts AS (SELECT id, term, length, count(*) AS tf FROM (SELECT id, len(ts) AS length, unnest(ts) AS term FROM toks) GROUP BY ALL),
+asked AS (SELECT doc_id AS query_id, term, count(*) AS tf FROM (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS term FROM documents WHERE doc_id % 50 = 0) GROUP BY ALL),
+size AS (SELECT (SELECT count(*) FROM c) AS N, (SELECT CAST(sum(len(ts)) AS DOUBLE) FROM toks) / (SELECT count(*) FROM c) AS avgdl),
+dfs AS (SELECT term, ln(N - df + 0.5) - ln(df + 0.5) AS idf, avgdl FROM (SELECT term, count(*) AS df FROM posts GROUP BY term), size),
+w AS (SELECT query_id, term, avgdl, tf * CASE WHEN idf < 0 THEN 0.25 * (SELECT avg(idf) FROM dfs) ELSE idf END AS w FROM dfs JOIN asked USING (term))"""
+
+
+@_query(
+    f"""WITH {_CHUNK_SPARSE} SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM (
+  SELECT query_id, id, round(sum(w * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * length / avgdl))), 6) AS score FROM posts JOIN w USING (term) GROUP BY query_id, id) WHERE score > 0) WHERE rank <= 30"""
+)
+def index_sparse_top30(spark, d):
+    """BM25 over stored chunks from the postings of the asked terms."""
+    return _chunk_index(spark, d)[0].sparse(_questions(spark, d))
+
+
+@_query()
+def hybrid_top6(spark, d):
+    """Fused and reranked passages of stored chunks."""
+    index, _ = _chunk_index(spark, d)
+    asked = _questions(spark, d)
+    return answering.rerank_passages(index, written(answering.hybrid_search(index, asked), "fused"), asked).drop("text")
+
+
+@_query()
+def answer_audit(spark, d):
+    """The whole chain: one audit row per question, with what its answer cites."""
+    answers, audit = answering.answer_questions(_chunk_index(spark, d)[0], _questions(spark, d))
+    return audit.join(answers.select("query_id", "refused", "sources_supplied", F.size("warnings").alias("warnings")), "query_id")
+
+
 _MARKERS = r"""m AS (SELECT answer_id AS id, sources_supplied AS supplied, regexp_replace(n, '^0+(\d)', '\1') AS n, pos FROM (
   SELECT answer_id, sources_supplied, unnest(ns) AS n, generate_subscripts(ns, 1) - 1 AS pos FROM (SELECT *, regexp_extract_all(answer, '\[S(\d+)\]', 1) AS ns FROM grounded_answers))),
 c AS (SELECT *, TRY_CAST(n AS BIGINT) AS source_index FROM (SELECT id, supplied, n, min(pos) AS first_pos FROM m GROUP BY ALL))"""
