@@ -167,6 +167,11 @@ def scorecard(judged: DataFrame) -> DataFrame:
     return j.select("fault", "injected", q.alias("quarantined"), (F.col("injected") - q).alias("escaped"), F.round(q / F.col("injected"), 4).alias("catch_rate"), F.coalesce("wrong", F.lit(0)).alias("misclassified"))
 
 
+def organic_rejections(judged: DataFrame) -> DataFrame:
+    """Rejected rows that no fault was put into: reason, rejected."""
+    return reason_counts(judged.where(F.col("fault").isNull()))
+
+
 def scorecard_total(card: DataFrame) -> DataFrame:
     return card.agg(
         F.sum("injected").alias("injected"), F.sum("quarantined").alias("quarantined"), F.sum(F.greatest("escaped", F.lit(0))).alias("escaped"), F.sum("misclassified").alias("misclassified")

@@ -85,6 +85,25 @@ def summarise(results: DataFrame) -> DataFrame:
     return results.agg(F.count("*").alias("evaluated"), F.count_if("success").alias("successful"), F.min("success").alias("success"), F.max("element_count").alias("rows"))
 
 
+def failed_details(df: DataFrame, suite: list[Expectation], results: list[dict], most: int = 20) -> list[dict]:
+    """For each failed expectation its arguments and at most ``most`` of the unexpected values."""
+    failed = {r["label"]: r for r in results if not r["success"]}
+    out = []
+    for e in suite:
+        if e.label not in failed:
+            continue
+        names = [e.args[k] for k in ("column", "a", "b") if k in e.args] + list(e.args.get("columns", ()))
+        if e.kind in ROW_KINDS:
+            rows = df.where(ROW_KINDS[e.kind](e.args))
+        elif e.kind == "compound_unique":
+            rows = df.groupBy(*names).count().where("count > 1")
+        else:
+            rows = None
+        values = [tuple(r) if len(names) > 1 else r[0] for r in rows.select(*names).orderBy(*names).limit(most).collect()] if rows is not None else []
+        out.append({"label": e.label, "kwargs": dict(e.args), "why": e.why, **{k: failed[e.label][k] for k in ("unexpected_count", "unexpected_percent")}, "partial_unexpected_list": values})
+    return out
+
+
 class GateFailure(RuntimeError):
     """The data didn't meet the suite; the report is in ``report``."""
 
@@ -97,6 +116,8 @@ def run_gate(df: DataFrame, suite: list[Expectation], write_report: Callable[[di
     """Evaluate, hand the report to ``write_report``, and only then raise if it failed."""
     rows = [r.asDict() for r in evaluate(df, suite).collect()]  # one row per expectation
     report = {"evaluated": len(rows), "successful": sum(r["success"] for r in rows), "success": all(r["success"] for r in rows), "failed": [r for r in rows if not r["success"]]}
+    if report["failed"]:
+        report["details"] = failed_details(df, suite, rows)
     if write_report:
         write_report(report)
     if fail and not report["success"]:

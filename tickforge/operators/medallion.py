@@ -24,6 +24,22 @@ def bronze_lines(lines: DataFrame, batch_id: str, at: Column | None = None) -> D
     )
 
 
+def load_bronze(spark: SparkSession, lines: DataFrame, path: str, batch_id: str, at: Column | None = None) -> dict:
+    """Append a batch of lines to the table of raw records. The table is partitioned by batch, so a batch that is loaded
+    again takes its own place. A batch without lines is an error."""
+    rows = _as_schema(conform(bronze_lines(lines, batch_id, at), schemas.BRONZE), schemas.BRONZE)
+    table = VersionedTable(spark, path).create(schemas.BRONZE, partition_by="batch_id")
+    base = table.manifest()
+    added = table._write(rows, "batch_id")
+    loaded = table._open(added, schemas.BRONZE)
+    n = loaded.count()
+    if not n:
+        raise ValueError(f"batch {batch_id} has no lines")
+    again = [p for p in base["parts"] if p == batch_id]
+    table.put(base, "LOAD", {"batch": batch_id, "rows": n, "replaced": len(again)}, added=added, dropped=again)
+    return {"batch_id": batch_id, "rows": n, "files": loaded.select("source_file").distinct().count(), "replaced": bool(again)}
+
+
 def silver_parse(bronze: DataFrame) -> DataFrame:
     """Typed projection of raw payloads. What can't be read is null, never an error."""
     p = F.from_json("raw_payload", schemas.PAYLOAD)
@@ -78,4 +94,4 @@ def _as_schema(df: DataFrame, schema) -> DataFrame:
     return df.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in schema])
 
 
-__all__ = ["bronze_lines", "silver_parse", "unparseable", "silver_dedupe", "gold_guard", "merge_metrics", "run_silver", "run_gold", "merge_frames", "keep_first"]
+__all__ = ["bronze_lines", "silver_parse", "unparseable", "silver_dedupe", "gold_guard", "merge_metrics", "load_bronze", "run_silver", "run_gold", "merge_frames", "keep_first"]

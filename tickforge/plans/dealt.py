@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tickforge.functions.scalars import norm_ticker
 from tickforge.operators import anomalies, late, profile, redelivery, rejects, rolling
+from tickforge.streaming import ingest
 from tickforge.streaming.periods import replay
 from tickforge.workspace import read, shared_path, written
 
@@ -49,6 +50,32 @@ def p3_loaded(spark: SparkSession, d: str) -> DataFrame:
     return rejects.accepted(parsed, ["record_id"])
 
 
+def p3_streamed(spark: SparkSession, d: str) -> DataFrame:
+    """The raw messages as a topic through the stream: record_id, reason of what stands in quarantine."""
+    root = shared_path(spark, "raw")
+    raw = read(spark, d, "bronze_quotes")
+    ingest.produce(raw, f"{root}/topic", key="record_id", order="record_id")
+    ingest.run_ingest(spark, f"{root}/topic", root)
+    return ingest.read_quarantine(spark, root).select(F.col("kafka.key").cast("bigint").alias("record_id"), "reason")
+
+
+_LINE = {"row_id": "bigint", "ticker": "string", "trade_date": "date", "close": "double", "volume": "bigint"}
+
+
+def p3_delimited(spark: SparkSession, d: str) -> DataFrame:
+    """Quotes as delimited lines, some with a column too few or too many, an open quotation, a cell that is no number or no
+    ticker, through the reader."""
+    q = read(spark, d, "silver_quotes").select(*_LINE)
+    text = {c: F.coalesce(F.col(c).cast("string"), F.lit("")) for c in _LINE}
+    fault = F.col("row_id") % 23
+    text["ticker"] = F.when(fault == 5, "").when(fault == 7, F.concat(F.lit('"'), F.col("ticker"), F.lit(',x"'))).when(fault == 11, F.concat(F.lit('"'), F.col("ticker"))).otherwise(text["ticker"])
+    text["volume"] = F.when(fault == 13, "many").otherwise(text["volume"])
+    line = F.concat_ws(",", *text.values())
+    line = F.when(fault == 1, F.regexp_replace(line, r",[^,]*\z", "")).when(fault == 3, F.concat(line, F.lit(",more"))).otherwise(line)
+    got = rejects.parse_delimited(q.select("row_id", line.alias("line")), "line", _LINE, required=("ticker",))
+    return got.select("row_id", "reason", *[F.col(f"record.{c}").alias(c) for c in list(_LINE)[1:]])
+
+
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
     quotes = read(spark, d, "silver_quotes").select("row_id", "ticker", "trade_date", "event_ts", "ingest_ts", *anomalies.PRICES, "volume")
     return anomalies.flag_readings(redelivery.keep_first(quotes))
@@ -100,7 +127,7 @@ def p7_corrected(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES = {
-    f.__name__: f for f in (p1_found, p2_found, p2_profile, p3_found, p3_loaded, p4_found, p6_found, p6_daily_as_of, p6_expired_report, p6_streamed, p7_rolling_totals, p7_corrected)
+    f.__name__: f for f in (p1_found, p2_found, p2_profile, p3_found, p3_loaded, p3_streamed, p3_delimited, p4_found, p6_found, p6_daily_as_of, p6_expired_report, p6_streamed, p7_rolling_totals, p7_corrected)
 }
 
 # -- SQL --------------------------------------------------------------------------------------------------------
@@ -214,6 +241,11 @@ FROM silver_quotes) WHERE rn > 1""",
     "p2_found": _P2_FOUND,
     "p2_profile": f"""WITH {_profile_sql(_COLUMNS + ("trade_date",))}
 SELECT batch_id, column_name, feed, n AS rows, null_rows / n AS null_share, distinct_values, median_value, null_rows, outside_rows FROM prof""",
+    "p3_delimited": """WITH f AS (SELECT row_id, row_id % 23 AS k, ticker, trade_date, close, volume FROM silver_quotes),
+r AS (SELECT *, CASE WHEN k IN (1, 3) THEN 'COLUMN_COUNT' WHEN k = 11 AND ticker IS NOT NULL THEN 'BROKEN_QUOTING' WHEN k = 5 OR coalesce(ticker, '') = '' THEN 'MISSING_VALUE:ticker'
+  WHEN isnan(close) OR isinf(close) THEN 'INVALID_VALUE:close' WHEN k = 13 THEN 'INVALID_VALUE:volume' END AS reason FROM f)
+SELECT row_id, reason, CASE WHEN reason IS NULL THEN CASE WHEN k = 7 THEN ticker || ',x' ELSE ticker END END AS ticker, CASE WHEN reason IS NULL THEN trade_date END AS trade_date,
+  CASE WHEN reason IS NULL THEN close END AS close, CASE WHEN reason IS NULL THEN volume END AS volume FROM r""",
     "p4_found": _p4_sql(),
     "p6_found": f"WITH {_ROUTED} SELECT row_id, status FROM routed WHERE status <> 'on_time'",
     "p6_daily_as_of": _DAILY,

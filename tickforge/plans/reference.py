@@ -126,6 +126,13 @@ def contract_scorecard(spark, d):
     return contract.scorecard(_judged(spark, d))
 
 
+@_query(f"WITH {_DRAWN} SELECT {_EXPECTED} AS reason, count(*) AS rejected FROM drawn WHERE fault IS NOT NULL AND fault LIKE 'negative%' GROUP BY 1")
+def contract_organic(spark, d):
+    """Rejections without a tag: here the tags of two faults are taken off."""
+    tagged = F.when(~F.col("fault").startswith("negative"), F.col("fault"))
+    return contract.organic_rejections(_judged(spark, d).withColumn("fault", tagged))
+
+
 @_query(f"WITH {_DRAWN} SELECT count(fault) AS injected, count(fault) AS quarantined, CAST(0 AS BIGINT) AS escaped, CAST(0 AS BIGINT) AS misclassified, CAST(1 AS DOUBLE) AS catch_rate FROM drawn")
 def contract_misclassified(spark, d):
     return contract.scorecard_total(contract.scorecard(_judged(spark, d)))
@@ -849,7 +856,7 @@ def producer_take(spark, d):
 @_query(f"WITH {_DRAWN} SELECT coalesce({_EXPECTED}, 'ACCEPTED') AS outcome, count(*) AS n FROM drawn GROUP BY 1")
 def stream_contract_counts(spark, d):
     """A bounded stream of payload files through the contract into two sinks; the answer of the batch."""
-    return drain_payloads(_faulty(spark, d).select("raw_payload"), shared_path(spark, "stream"))
+    return drain_payloads(_faulty(spark, d), shared_path(spark, "stream"))
 
 
 @_query("SELECT o_orderpriority, round(sum(CASE WHEN o_totalprice > 0 THEN ln(o_totalprice) END), 4) AS log_sum, count(*) AS orders FROM orders GROUP BY o_orderpriority")

@@ -38,14 +38,15 @@ def read_side_files(spark: SparkSession, path: str) -> DataFrame:
     j = raw.select("file", F.from_json("value", _SIDE).alias("j")).where(F.col("j").isNotNull()).select("file", "j.*")
     form = F.upper(F.coalesce(_full(F.col("filing_type")), F.lit("10-K")))
     sections = F.array(*[F.struct(F.lit("Item " + k.split("_")[1]).alias("item"), F.lit(t).alias("title"), F.col(k).alias("body")) for k, t in ITEMS.items()])
+    stem = F.regexp_replace("file", r"\.json$", "")
     out = j.select(
-        F.coalesce(_full(F.col("filename")), F.col("file")).alias("source_file"), "company", "cik", F.lit(None).cast("string").alias("ticker"), form.alias("form_type"),
+        F.coalesce(_full(F.col("filename")), F.col("file")).alias("source_file"), F.coalesce(_full(F.col("company")), stem).alias("company"), "cik", F.lit(None).cast("string").alias("ticker"), form.alias("form_type"),
         F.nullif(F.substring("period_of_report", 1, 4), F.lit("")).alias("fiscal_year"), F.col("filing_date").alias("filed_date"), F.explode(sections).alias("s"),
     )
     return out.where(F.col("form_type").startswith("10-K") & (F.length(F.trim("s.body")) >= MIN_SECTION)).select("source_file", "company", "cik", "ticker", "form_type", "fiscal_year", "filed_date", "s.*")
 
 
-def read_submissions(spark: SparkSession, path: str, min_bytes: int = MIN_RAW_BYTES) -> DataFrame:
+def read_submissions(spark: SparkSession, path: str | list[str], min_bytes: int = MIN_RAW_BYTES) -> DataFrame:
     """Raw submissions by their header and headings: the columns of ``read_side_files``."""
     raw = spark.read.text(path, wholetext=True).where(F.col("_metadata.file_size") > min_bytes).select("value", F.col("_metadata.file_name").alias("source_file"))
     head = F.substring("value", 1, HEADER_CHARS)
@@ -56,6 +57,23 @@ def read_submissions(spark: SparkSession, path: str, min_bytes: int = MIN_RAW_BY
     return split_sections(strip_markup(h.where(F.col("form_type").startswith("10-K")), "value").drop("value"), "plain")
 
 
+def load_filings(spark: SparkSession, side: str | None, raw: str | None, limit: int = 25, preferred: tuple[str, ...] = (), min_bytes: int = MIN_RAW_BYTES) -> DataFrame:
+    """Sections of the first ``limit`` filings (0: all): from side files if any has a section, else from the largest raw
+    submissions, of which only ``limit`` are parsed. No section at all is an error."""
+    if side:
+        found = read_side_files(spark, side)
+        if not found.isEmpty():
+            return prioritised(found, preferred, limit)
+    if raw:
+        sizes = spark.read.format("binaryFile").load(raw).select("path", "length").where(F.col("length") > min_bytes).orderBy(F.col("length").desc(), "path")
+        paths = [r["path"] for r in (sizes.limit(limit) if limit else sizes).collect()]  # one row per file that is parsed
+        if paths:
+            found = read_submissions(spark, paths, min_bytes)
+            if not found.isEmpty():
+                return prioritised(found, preferred, limit)
+    raise FileNotFoundError("no filing with a section")
+
+
 def prioritised(sections: DataFrame, preferred: tuple[str, ...], limit: int = 25) -> DataFrame:
     """Sections of the first ``limit`` filings (0: all): preferred companies first, then those with most text."""
     like = F.exists(F.array(*[F.lit(p.upper()) for p in preferred]), lambda p: F.contains(F.upper(F.coalesce("company", F.lit(""))), p)) if preferred else F.lit(False)
