@@ -182,6 +182,24 @@ def answer_questions(index: ChunkIndex, questions: DataFrame, k: int = retrieval
     return said.drop("cited", "unresolved"), audit.select("query_id", *[zero(c) for c in ("candidates", "found_by_both", "promoted", "demoted")], "cited", "unresolved")
 
 
+def citation_warnings(answers: DataFrame, id_col: str = "answer_id") -> DataFrame:
+    """id, warning of answers (answer, refused, sources_supplied) that cite what wasn't supplied, or cite nothing and aren't
+    refusals."""
+    c = retrieval.citations(answers, id_col, "answer", "sources_supplied").groupBy(F.col("id").alias("c_id")).agg(F.count_if(~F.col("resolved")).alias("unresolved"), F.count("*").alias("cited"))
+    j = answers.join(c, F.col(id_col) == F.col("c_id"), "left")
+    unknown = F.coalesce("unresolved", F.lit(0)) > 0
+    bare = (F.coalesce("cited", F.lit(0)) == 0) & ~F.coalesce("refused", F.lit(False))
+    return j.where(unknown | bare).select(id_col, F.when(unknown, "unknown source").otherwise("no citation").alias("warning"))
+
+
+def recorded_summary(answers: DataFrame) -> DataFrame:
+    """One row over recorded answers: answers, refused by flag, with markers, with warnings, declined by wording."""
+    return answers.agg(
+        F.count("*").alias("answers"), F.count_if("refused").alias("refused"), F.count_if(F.contains("answer", F.lit("[S"))).alias("with_markers"), F.count_if(F.size("warnings") > 0).alias("with_warnings"),
+        F.count_if(F.contains(F.lower("answer"), F.lit(REFUSED_BY))).alias("declined"),
+    )
+
+
 def demo_summary(answers: DataFrame, audit: DataFrame) -> DataFrame:
     """One row: questions, answered, refused, with_citations, with_warnings, reranker_changed."""
     j = answers.join(audit, "query_id")

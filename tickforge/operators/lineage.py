@@ -58,6 +58,19 @@ def read_events(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(SCHEMA).json(path)
 
 
-def summary(events: DataFrame) -> DataFrame:
-    """Jobs by state."""
-    return events.groupBy("job").pivot("eventType", ["START", "COMPLETE", "FAIL"]).agg(F.count(F.lit(1))).na.fill(0)
+STATES = ("START", "COMPLETE", "FAIL")
+
+
+def summary(events: DataFrame, job: str = "job", state: str = "eventType", states: tuple[str, ...] = STATES) -> DataFrame:
+    """Jobs by state: one column per state."""
+    return events.groupBy(job).pivot(state, list(states)).agg(F.count(F.lit(1))).na.fill(0)
+
+
+def by_state(events: DataFrame, state: str = "eventType") -> DataFrame:
+    return events.groupBy(F.col(state).alias("state")).agg(F.count("*").alias("events"))
+
+
+def topic_counts(messages: DataFrame, topic: str = "topic", partition: str = "partition", offset: str = "offset") -> DataFrame:
+    """Messages per topic as a broker counts them: the high less the low water mark of each partition."""
+    marks = messages.groupBy(F.col(topic).alias("topic"), F.col(partition)).agg(F.min(offset).alias("lo"), (F.max(offset) + 1).alias("hi"))
+    return marks.groupBy("topic").agg(F.sum(F.col("hi") - F.col("lo")).alias("messages"))

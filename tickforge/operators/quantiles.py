@@ -35,10 +35,12 @@ def grouped_median(df: DataFrame, keys: list[str], value: str, out: str = "media
     r1, r2 = F.expr("(__n + 1) div 2"), F.expr("(__n + 2) div 2")
     lo = F.col("__hi") - F.col("__c")
     mid = run.where((lo < r2) & (F.col("__hi") >= r1)).select(*[F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)], F.col("__b").alias("__mb"), lo.alias("__lo"), "__n")
-    cond = F.col("__b") == F.col("__mb")
+    # equal values become one row before they meet the bin, so a value that a third of all rows have is no hot key
+    counted = vals.groupBy(*keys, "__b", "__v").agg(F.count("*").alias("__c"))
     for i, k in enumerate(keys):
-        cond = cond & vals[k].eqNullSafe(mid[f"__k{i}"])
-    within = vals.join(mid, cond).groupBy(*keys, "__b", "__v").agg(F.count("*").alias("__c"), F.first("__lo").alias("__lo"), F.first("__n").alias("__n"))
+        cond = (F.col("__b") == F.col("__mb")) if i == 0 else cond
+        cond = cond & counted[k].eqNullSafe(mid[f"__k{i}"])
+    within = counted.join(mid, cond).select(*keys, "__b", "__v", "__c", "__lo", "__n")
     wb = Window.partitionBy(*keys, "__b").orderBy("__v").rowsBetween(Window.unboundedPreceding, 0)
     ranked = within.withColumn("__hi", F.col("__lo") + F.sum("__c").over(wb)).withColumn("__from", F.col("__hi") - F.col("__c"))
     has = lambda r: (F.col("__from") < r) & (F.col("__hi") >= r)

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tickforge import schemas
 from tickforge.functions.scalars import log_or_null
-from tickforge.operators import answering, contract, expectations, medallion, metrics, retrieval, text
+from tickforge.operators import answering, contract, expectations, lineage, medallion, metrics, retrieval, text
 from tickforge.operators.tables import VersionedTable, WriteRefused, conform, merge_frames, violation_counts
 from tickforge.sources.fixtures import bars as _bars
 from tickforge.streaming.ingest import drain_payloads
@@ -210,6 +210,17 @@ def silver_merge_metrics(spark, d):
     return medallion.merge_metrics(_merged(spark, d))
 
 
+@_query(f"WITH {_MERGED} SELECT count(*) FILTER (act = 'insert') AS inserted, count(*) FILTER (act = 'update') AS updated, count(*) FILTER (act = 'keep') AS kept, (SELECT count(DISTINCT ticker) FROM src) AS partitions, count(*) AS rows_after FROM merged")
+def silver_table_merge(spark, d):
+    """The same upsert, written: into a table partitioned by ticker, whose rows and metrics are read back."""
+    b = _bars(spark, d)
+    table = VersionedTable(spark, shared_path(spark, "silver")).create(b.schema, partition_by="ticker")
+    table.append(b.where(F.col("trade_date") <= F.lit(CUTOFF)))
+    m = table.merge(written(b.where(F.col("trade_date") > F.date_sub(F.lit(CUTOFF), 140)).withColumn("close", F.col("close") + 1), "source"), ["ticker", "trade_date"])
+    done = table.manifest()["metrics"]
+    return table.read().agg(F.lit(m["numInserted"]).cast("bigint").alias("inserted"), F.lit(m["numUpdated"]).cast("bigint").alias("updated"), F.lit(m["numKept"]).cast("bigint").alias("kept"), F.lit(done["partitionsReplaced"]).cast("bigint").alias("partitions"), F.count("*").alias("rows_after"))
+
+
 @_query(
     f"""WITH {_BARS}, src AS (SELECT ticker, trade_date, CAST(trade_date AS VARCHAR) AS d, close FROM bars)
 SELECT ticker, CAST(d AS DATE) AS trade_date, close, CAST(NULL AS DOUBLE) AS adj_close FROM src"""
@@ -760,12 +771,7 @@ SELECT answer_id, CASE WHEN coalesce(unresolved, 0) > 0 THEN 'unknown source' EL
 WHERE coalesce(unresolved, 0) > 0 OR (coalesce(cited, 0) = 0 AND NOT coalesce(refused, false))"""
 )
 def citation_warnings(spark, d):
-    a = read(spark, d, "grounded_answers")
-    c = retrieval.citations(a, "answer_id", "answer", "sources_supplied").groupBy("id").agg(F.count_if(~F.col("resolved")).alias("unresolved"), F.count("*").alias("cited"))
-    j = a.join(c, a.answer_id == c.id, "left")
-    unknown = F.coalesce("unresolved", F.lit(0)) > 0
-    bare = (F.coalesce("cited", F.lit(0)) == 0) & ~F.coalesce("refused", F.lit(False))
-    return j.where(unknown | bare).select("answer_id", F.when(unknown, "unknown source").otherwise("no citation").alias("warning"))
+    return answering.citation_warnings(read(spark, d, "grounded_answers"))
 
 
 @_query(
@@ -773,11 +779,7 @@ def citation_warnings(spark, d):
 count(*) FILTER (contains(lower(answer), 'do not contain enough information')) AS declined FROM grounded_answers"""
 )
 def answer_summary(spark, d):
-    a = read(spark, d, "grounded_answers")
-    return a.agg(
-        F.count("*").alias("answers"), F.count_if("refused").alias("refused"), F.count_if(F.contains("answer", F.lit("[S"))).alias("with_markers"), F.count_if(F.size("warnings") > 0).alias("with_warnings"),
-        F.count_if(F.contains(F.lower("answer"), F.lit("do not contain enough information"))).alias("declined"),
-    )
+    return answering.recorded_summary(read(spark, d, "grounded_answers"))
 
 
 @_query(
@@ -821,19 +823,18 @@ def filing_priority_whole(spark, d):
 
 @_query("SELECT event_type AS state, count(*) AS events FROM events GROUP BY event_type")
 def lineage_by_state(spark, d):
-    return read(spark, d, "events").groupBy(F.col("event_type").alias("state")).agg(F.count("*").alias("events"))
+    return lineage.by_state(read(spark, d, "events"), "event_type")
 
 
 @_query("SELECT user_id % 7 AS job, count(*) FILTER (hour(ts) < 12) AS morning, count(*) FILTER (hour(ts) >= 12) AS evening FROM events GROUP BY 1")
 def lineage_pivot(spark, d):
     e = read(spark, d, "events").select((F.col("user_id") % 7).alias("job"), F.when(F.hour("ts") < 12, "morning").otherwise("evening").alias("half"))
-    return e.groupBy("job").pivot("half", ["morning", "evening"]).agg(F.count(F.lit(1))).na.fill(0)
+    return lineage.summary(e, "job", "half", ("morning", "evening"))
 
 
 @_query("SELECT event_type AS topic, CAST(sum(hi - lo) AS BIGINT) AS messages FROM (SELECT event_type, user_id % 3 AS part, min(event_id) AS lo, max(event_id) + 1 AS hi FROM events GROUP BY ALL) GROUP BY event_type")
 def topic_counts(spark, d):
-    marks = read(spark, d, "events").groupBy("event_type", F.col("user_id") % 3).agg(F.min("event_id").alias("lo"), (F.max("event_id") + 1).alias("hi"))
-    return marks.groupBy(F.col("event_type").alias("topic")).agg(F.sum(F.col("hi") - F.col("lo")).alias("messages"))
+    return lineage.topic_counts(read(spark, d, "events").select("event_type", (F.col("user_id") % 3).alias("part"), "event_id"), "event_type", "part", "event_id")
 
 
 @_query("WITH " + _BARS + " SELECT DISTINCT ticker FROM bars")

@@ -23,9 +23,22 @@ def shared_root(spark: SparkSession) -> str:
     return root.rstrip("/")
 
 
+_made: list[str] = []
+
+
 def shared_path(spark: SparkSession, name: str) -> str:
-    """A fresh path in the shared folder."""
-    return f"{shared_root(spark)}/tickforge/{name}-{uuid.uuid4().hex[:12]}"
+    """A fresh path in the shared folder. ``release`` removes it."""
+    _made.append(f"{shared_root(spark)}/tickforge/{name}-{uuid.uuid4().hex[:12]}")
+    return _made[-1]
+
+
+def release(spark: SparkSession) -> int:
+    """Remove all that this process has put into the shared folder; for use when no result is read any more."""
+    conf, n = spark.sparkContext._jsc.hadoopConfiguration(), len(_made)
+    while _made:
+        at = spark._jvm.org.apache.hadoop.fs.Path(_made.pop())
+        at.getFileSystem(conf).delete(at, True)
+    return n
 
 
 def written(df: DataFrame, name: str, partition_by: list[str] | None = None) -> DataFrame:
