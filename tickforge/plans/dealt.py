@@ -220,19 +220,23 @@ SELECT ticker, period, as_of_date, CAST(sum(messages) OVER w AS BIGINT) AS messa
 FROM st WINDOW w AS (PARTITION BY ticker, period ORDER BY as_of_date ROWS UNBOUNDED PRECEDING)"""
 
 
-def _p7_sql(total: str = "list_aggregate(list(close) FILTER (close IS NOT NULL) {over}, 'fsum')") -> str:
-    out = []
+def _p7_sql() -> str:
+    """Sums of close carry what each addition rounds off, as those of the trees do; a plain sum differs in the last digit."""
+    t = "(a.s + b.s)"
+    add = f"lambda a, b: {{'s': {t}, 'c': a.c + b.c + CASE WHEN isfinite({t}) THEN (a.s - ({t} - ({t} - a.s))) + (b.s - ({t} - a.s)) ELSE 0.0 END}}"
+    out, sums = [], []
     for w in (7, 30):
         over = f"OVER (PARTITION BY ticker ORDER BY day RANGE BETWEEN INTERVAL {w - 1} DAYS PRECEDING AND CURRENT ROW)"
-        out.append(
-            f"{total.format(over=over)} AS total_close_{w}d, {total.format(over=over)} / count(close) {over} AS avg_close_{w}d, CAST(sum(volume) {over} AS BIGINT) AS total_volume_{w}d, "
-            f"CAST(sum(volume) {over} AS DOUBLE) / count(volume) {over} AS avg_volume_{w}d, count(close) {over} AS n_close_{w}d, count(volume) {over} AS n_volume_{w}d"
-        )
+        sums.append(f"list_reduce(list_transform(list(close) FILTER (close IS NOT NULL) {over}, lambda x: {{'s': x, 'c': 0.0::DOUBLE}}), {add}) AS r{w}")
+        total = f"CASE WHEN isfinite(r{w}.s) THEN r{w}.s + r{w}.c ELSE r{w}.s END"
+        sums += [f"CAST(sum(volume) {over} AS BIGINT) AS total_volume_{w}d", f"CAST(sum(volume) {over} AS DOUBLE) / count(volume) {over} AS avg_volume_{w}d", f"count(close) {over} AS n_close_{w}d", f"count(volume) {over} AS n_volume_{w}d"]
+        out.append(f"{total} AS total_close_{w}d, ({total}) / n_close_{w}d AS avg_close_{w}d, total_volume_{w}d, avg_volume_{w}d, n_close_{w}d, n_volume_{w}d")
     return f"""WITH {_KEPT}, q AS (
   SELECT * FROM (SELECT tk, trade_date, close, volume, row_number() OVER (PARTITION BY tk, trade_date ORDER BY event_ts DESC NULLS LAST, row_id DESC) AS pick FROM kept WHERE trade_date IS NOT NULL) WHERE pick = 1),
 days AS (SELECT tk AS ticker, CAST(unnest(generate_series(min(trade_date), max(trade_date), INTERVAL 1 DAY)) AS DATE) AS day FROM q GROUP BY tk),
-f AS (SELECT d.ticker, d.day, q.close, q.volume FROM days d LEFT JOIN q ON q.tk IS NOT DISTINCT FROM d.ticker AND q.trade_date = d.day)
-SELECT ticker, day, {", ".join(out)} FROM f"""
+f AS (SELECT d.ticker, d.day, q.close, q.volume FROM days d LEFT JOIN q ON q.tk IS NOT DISTINCT FROM d.ticker AND q.trade_date = d.day),
+g AS (SELECT ticker, day, {", ".join(sums)} FROM f)
+SELECT ticker, day, {", ".join(out)} FROM g"""
 
 
 SQL = {
