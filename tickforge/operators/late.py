@@ -12,7 +12,7 @@ the cut-off bounds the arrival days of a period, a key has at most ``allowed + 1
 records, and records are added up before the shuffle.
 
 Defined cases: a null event time or arrival time belongs to no period (status null, left out); an arrival before the
-event counts as on time; null values add nothing to sums; ties in event time are settled by the largest ``row_id``;
+event counts as on time; null values add nothing to sums; a volume beyond 64 bits is null; ties in event time are settled by the largest ``row_id``;
 deliveries may come in any order and end in the same state; a delivery whose tag the last commit has changes nothing.
 """
 
@@ -52,7 +52,7 @@ def partial_state(df: DataFrame) -> DataFrame:
         .agg(
             F.count("*").alias("messages"),
             F.count_if(F.col("status") == "late").alias("late_messages"),
-            F.sum("volume").alias("volume"),
+            F.try_sum("volume").alias("volume"),
             F.max("high").alias("high"),
             F.min("low").alias("low"),
             F.max(last).alias("last_quote"),
@@ -60,7 +60,7 @@ def partial_state(df: DataFrame) -> DataFrame:
     )
 
 
-_MERGE = {"messages": F.sum, "late_messages": F.sum, "volume": F.sum, "high": F.max, "low": F.min, "last_quote": F.max}
+_MERGE = {"messages": F.sum, "late_messages": F.sum, "volume": F.try_sum, "high": F.max, "low": F.min, "last_quote": F.max}
 
 
 def as_of_log(state: DataFrame) -> DataFrame:

@@ -11,8 +11,8 @@ rounding error doesn't depend on the tree's shape.
 
 Defined cases: a null ticker is an entity of its own; rows without trade_date have no day and are left out; the day's
 quote is the one with the latest event_ts (nulls last, then the largest row_id); null values are skipped in sums and
-counts, NaN stays NaN and infinity infinity; an average over no value is null; days without a quote between the first
-and the last count 0.
+counts, NaN stays NaN and infinity infinity; an average over no value is null, and so is a total of volume
+beyond 64 bits; days without a quote between the first and the last count 0.
 """
 
 from __future__ import annotations
@@ -188,10 +188,15 @@ def trailing(trees: DataFrame, windows: tuple[int, ...] = (7, 30)) -> DataFrame:
             real, whole = _matrices(b)
             col = lambda c: b.column(c).cast(pa.int64()).fill_null(-(2**60)).to_numpy(zero_copy_only=False)
             shard, lo, hi, first, last, nxt = (col(c) for c in ("shard", "lo", "hi", "first", "last", "next"))
+            beyond = None
             # row n has no quote, row n + 1 is the tree before the piece
             zero_r, zero_w = np.zeros((1, _NODES, 2)), np.zeros((1, _NODES, 3), np.int64)
             real = np.concatenate([real, zero_r, held[0] if held else zero_r])
             whole = np.concatenate([whole, zero_w, held[1] if held else zero_w])
+            days_of = whole[:, SHARD_DAYS:, 1]
+            if np.abs(days_of.astype(np.float64)).max() > 2.0**57:  # sums of a window may not fit into 64 bits
+                running = np.concatenate([np.zeros((len(days_of), 1)), np.cumsum(days_of.astype(np.float64), axis=1)], axis=1)
+                beyond = lambda t, a, z, running=running: np.where(a <= z, running[t, z + 1] - running[t, a], 0.0)
             previous = np.concatenate([[held[2] if held else -(2**60)], shard[:-1]])
             before = np.where((shard != first) & (previous == shard - 1), np.concatenate([[n + 1], np.arange(n - 1)]), n)
             # shards between a tree and the next one have no tree of their own
@@ -210,9 +215,13 @@ def trailing(trees: DataFrame, windows: tuple[int, ...] = (7, 30)) -> DataFrame:
                 left = d - width + 1
                 r1, w1 = range_sums(real, whole, own[e], np.maximum(left, 0), d.copy())
                 r2, w2 = range_sums(real, whole, past[e], np.where(left < 0, left + SHARD_DAYS, 1), np.where(left < 0, SHARD_DAYS - 1, 0))
-                total, counts = _total(_plus(r1, r2)), w1 + w2
+                total, counts = _total(_plus(r1, r2)), w1 + w2  # whole numbers wrap around, so a sum that fits is right
+                too_large = np.zeros(len(e), bool)
+                if beyond:
+                    about = beyond(own[e], np.maximum(left, 0), d) + beyond(past[e], np.where(left < 0, left + SHARD_DAYS, 1), np.where(left < 0, SHARD_DAYS - 1, 0))
+                    too_large = (np.abs(about) >= 1.5 * 2.0**63) | ((np.abs(about) > 2.0**62) & ((counts[:, 1] < 0) != (about < 0)))
                 out |= {
-                    f"total_close_{width}d": pa.array(total, mask=counts[:, 0] == 0), f"total_volume_{width}d": pa.array(counts[:, 1], mask=counts[:, 2] == 0),
+                    f"total_close_{width}d": pa.array(total, mask=counts[:, 0] == 0), f"total_volume_{width}d": pa.array(counts[:, 1], mask=(counts[:, 2] == 0) | too_large),
                     f"n_close_{width}d": pa.array(counts[:, 0]), f"n_volume_{width}d": pa.array(counts[:, 2]),
                 }
             held = (real[n - 1 : n], whole[n - 1 : n], shard[-1])

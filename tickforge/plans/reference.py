@@ -384,7 +384,8 @@ _KNOWN = tuple(f"T{chr(65 + i)}" for i in range(24))
 def _gate(spark, d, kinds: tuple[str, ...] | None = None, clean: bool = False):
     b = _bars(spark, d)
     suite = [e for e in expectations.quote_suite(_KNOWN) if kinds is None or e.kind in kinds]
-    return expectations.evaluate(b if clean else expectations.taint(b), suite)
+    b = written(b, "bars")  # the bad rows and the uniqueness pass read it again
+    return expectations.evaluate(b if clean else written(expectations.taint(b), "tainted"), suite)
 
 
 def _suite_sql(kinds: tuple[str, ...] | None = None) -> str:
@@ -599,7 +600,7 @@ reranked AS (SELECT *, row_number() OVER (ORDER BY rerank_score DESC, before) AS
 
 
 def _reranked(spark, d):
-    fused = _fuse(spark, d, 60)
+    fused = written(_fuse(spark, d, 60), "fused")
     texts = _docs(spark, d).select(F.col("doc_id").alias("id"), "text")
     return fused, retrieval.rerank(fused, texts, retrieval.lexical_overlap(QUESTION))
 
