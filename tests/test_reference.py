@@ -288,3 +288,39 @@ def test_plug_ins_are_asked_and_may_be_missing(spark, tmp_path):
     assert (audit.first()["cited"], audit.first()["unresolved"]) == (3, 2)
     with pytest.raises(answering.PluginUnavailable):
         answering.ChunkIndex(spark, f"file://{tmp_path}/b", answering.Plugins(ready=lambda: "no model is served")).build(sections)
+
+
+def test_inverted_lists_find_what_the_whole_search_finds(spark):
+    import numpy as np
+
+    from tickforge.operators import vectors
+
+    rng = np.random.default_rng(1)
+    centres = rng.normal(size=(20, 16))
+    rows = [(i, (centres[i % 20] + rng.normal(size=16) * 0.3).tolist()) for i in range(1000)] + [(2000, None), (2001, [0.0] * 16)]
+    df = spark.createDataFrame(rows, "vec_id BIGINT, embedding ARRAY<DOUBLE>")
+    asked = df.where("vec_id % 50 = 0").withColumnRenamed("vec_id", "query_id")
+    index = vectors.VectorIndex(df, probes=1).calibrated(asked, 0.95, k=10)
+    assert index.recall(asked, 10) >= 0.95 and index.probes < index.lists
+    assert index.rows.count() == 1001
+    whole = {tuple(r) for r in retrieval.dense_search_set(df, asked, 10).select("query_id", "id", "rank").collect()}
+    assert {tuple(r) for r in index.search(asked, 10, probes=index.lists).select("query_id", "id", "rank").collect()} == whole
+    assert vectors.VectorIndex(df.limit(0)).search(asked).count() == 0
+
+
+def test_archives_and_raw_filings(spark, tmp_path):
+    import zipfile
+
+    (tmp_path / "raw").mkdir()
+    with zipfile.ZipFile(tmp_path / "raw" / "q.zip", "w") as z:
+        z.writestr("inner/q.csv", "\ufeffDate,Symbol,Open,High,Low,Close,Volume\n2022-03-09,QX,1,2,0.5,1.5,10\n")
+    for _ in range(2):  # the second time nothing is unpacked again
+        assert [r["ticker"] for r in quotes.load_quotes(spark, str(tmp_path / "raw")).collect()] == ["QX"]
+    subs = tmp_path / "subs"
+    subs.mkdir()
+    for name, company, n in (("a.txt", "Small Co", 80), ("b.txt", "Large Co", 900), ("c.txt", "Huge Co", 1500)):
+        (subs / name).write_text(f"CONFORMED SUBMISSION TYPE: 10-K\nCOMPANY CONFORMED NAME: {company}\n\nItem 1. Business " + "We sell. " * n)
+    got = filings.load_filings(spark, None, str(subs), limit=2, min_bytes=0)
+    assert sorted(r["company"] for r in got.select("company").distinct().collect()) == ["Huge Co", "Large Co"]
+    with pytest.raises(FileNotFoundError):
+        filings.load_filings(spark, None, str(subs), min_bytes=10**9)

@@ -9,8 +9,9 @@ from pyspark.sql import functions as F
 
 from tickforge import schemas
 from tickforge.functions.scalars import log_or_null
-from tickforge.operators import answering, contract, expectations, lineage, medallion, metrics, retrieval, text
+from tickforge.operators import answering, contract, expectations, lineage, medallion, metrics, retrieval, text, vectors
 from tickforge.operators.tables import VersionedTable, WriteRefused, conform, merge_frames, violation_counts
+from tickforge.sources import quotes
 from tickforge.sources.fixtures import bars as _bars
 from tickforge.streaming.ingest import drain_payloads
 from tickforge.workspace import read, shared_path, written
@@ -178,6 +179,16 @@ def silver_unparseable(spark, d):
     return medallion.silver_parse(_bronze(spark, d)).agg(F.count("*").alias("parsed"), F.count_if(medallion.unparseable()).alias("unparseable"))
 
 
+@_query(f"WITH {_BARS} SELECT ticker, trade_date, open, high, low, close, volume FROM bars")
+def quotes_wide(spark, d):
+    """Bars written as a wide file with other spellings of the columns, found, and loaded again."""
+    at = shared_path(spark, "raw")
+    b = _bars(spark, d)
+    names = {"trade_date": "Date", "ticker": "Symbol", "open": "Open", "high": "HIGH", "low": " low", "close": "Close/Last", "volume": "Volume"}
+    b.select(*[F.col(c).cast("string").alias(n) for c, n in names.items()]).coalesce(1).write.option("header", True).csv(f"{at}/wide")
+    return quotes.load_quotes(spark, at).select("ticker", "trade_date", "open", "high", "low", "close", "volume")
+
+
 @_query(f"WITH {_BARS} SELECT ticker, trade_date, round(CASE WHEN day(trade_date) % 3 = 0 THEN low ELSE close END, 6) AS close, volume FROM bars")
 def silver_dedupe(spark, d):
     p = medallion.silver_parse(_bronze(spark, d)).where(~medallion.unparseable())
@@ -650,6 +661,26 @@ def dense_set_top30(spark, d):
     return retrieval.dense_search_set(v, v.where(F.col("vec_id") % _EVERY == 0).withColumnRenamed("vec_id", "query_id"))
 
 
+def _vector_index(spark, d):
+    v = read(spark, d, "embeddings")
+    asked = v.where(F.col("vec_id") % _EVERY == 0).withColumnRenamed("vec_id", "query_id")
+    return vectors.VectorIndex(v).calibrated(asked), asked
+
+
+@_query()
+def dense_index_top30(spark, d):
+    """The set of queries through inverted lists."""
+    index, asked = _vector_index(spark, d)
+    return index.search(asked)
+
+
+@_query()
+def dense_index_recall(spark, d):
+    """How much of the whole search the index finds."""
+    index, asked = _vector_index(spark, d)
+    return spark.createDataFrame([(asked.count(), index.lists, index.probes, index.recall(asked))], "queries BIGINT, lists INT, probes INT, recall DOUBLE")
+
+
 def _fused_set_sql(k: int) -> str:
     return f"""{_SPARSE_SET}, {_DENSE_SET},
 lists AS (SELECT query_id, id, rank, score, 0 AS list, 'dense' AS name FROM dense UNION ALL SELECT query_id, id, rank, score, 1, 'sparse' FROM sparse),
