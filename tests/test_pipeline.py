@@ -82,11 +82,58 @@ def test_commands(spark, tmp_path, monkeypatch):
     side.mkdir(parents=True)
     (side / "acme.json").write_text(json.dumps({"filing_type": "10-K", "period_of_report": "2021-12-31", "item_1A": "Wind turbines raise the costs of spare parts. " * 30}))
     assert cli.main(["pipeline"]) == 0
-    for command in ("kafka-setup", "contract-report", "enforce-schema", "quality-gate", "history", "rag-index", "rag-demo", "lineage-summary", "config"):
+    for command in ("kafka-setup", "contract-report", "enforce-schema", "quality-gate", "gate-fails", "history", "rag-index", "rag-demo", "lineage-summary", "config"):
         assert cli.main([command]) == 0, command
     assert cli.main(["rag-ask", "Which costs do wind turbines raise?"]) == 0
     evidence = {p.stem: json.loads(p.read_text()) for p in (tmp_path / "evidence").glob("*.json")}
     assert evidence["consumer"]["consumed"] == 56 and evidence["consumer"]["rejected"] == evidence["producer"]["corrupted"] > 0
     assert evidence["bronze"]["rows"] == evidence["consumer"]["accepted"] and evidence["contract_scorecard"]["organic_rejections"] == {}
     assert "turbines" in evidence["answer"][0]["answer"] and evidence["index"]["embedded"] > 0
+    assert evidence["gate_failure"]["details"][0]["partial_unexpected_list"] and evidence["gate_failure"]["details"][0]["kwargs"]
     assert (tmp_path / "evidence" / "answer.md").read_text().startswith("# answer")
+
+
+def test_lineage_is_posted_and_a_dead_collector_breaks_nothing(tmp_path):
+    import threading
+    from http.server import BaseHTTPRequestHandler, HTTPServer
+
+    from tickforge.operators.lineage import Recorder
+
+    got = []
+
+    class Collector(BaseHTTPRequestHandler):
+        def do_POST(self):
+            got.append(json.loads(self.rfile.read(int(self.headers["Content-Length"]))))
+            self.send_response(200)
+            self.end_headers()
+
+        def log_message(self, *a):
+            pass
+
+    server = HTTPServer(("127.0.0.1", 0), Collector)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    url = f"http://127.0.0.1:{server.server_port}/events"
+    with Recorder(None, url=url).run("job", ("a",), ("b",)) as metrics:
+        metrics["rows"] = 3
+    server.shutdown()
+    server.server_close()
+    assert [e["eventType"] for e in got] == ["START", "COMPLETE"] and got[1]["metrics"] == {"rows": "3"}
+    with Recorder(f"{tmp_path}/l.jsonl", url=url, timeout=0.5).run("job"):
+        pass
+    assert len((tmp_path / "l.jsonl").read_text().splitlines()) == 2
+
+
+def test_retries():
+    from tickforge.runner import retried
+
+    calls, waits = [], []
+
+    def flaky():
+        calls.append(1)
+        if len(calls) < 3:
+            raise OSError("not yet")
+        return "up"
+
+    assert retried(flaky, sleep=waits.append) == "up" and waits == [1.0, 2.0]
+    with pytest.raises(OSError):
+        retried(lambda: (_ for _ in ()).throw(OSError("never")), attempts=2, sleep=waits.append)

@@ -1,10 +1,11 @@
-"""Lineage events of runs, kept as JSON lines. Recording never breaks the run that it records."""
+"""Lineage events of runs, kept as JSON lines, sent to a collector, or both. Recording never breaks the run that it records."""
 
 from __future__ import annotations
 
 import contextlib
 import json
 import logging
+import urllib.request
 import uuid
 from collections.abc import Iterator
 from datetime import datetime, timezone
@@ -28,18 +29,25 @@ def run_id(given: str | None) -> str:
 
 
 class Recorder:
-    def __init__(self, path: str | None, parent: str | None = None):
-        self.path, self.parent = path, run_id(parent) if parent else None
+    """``path``: a file of events; ``url``: where each event is posted. Either may be None."""
+
+    def __init__(self, path: str | None, parent: str | None = None, url: str | None = None, timeout: float = 5.0):
+        self.path, self.parent, self.url, self.timeout = path, run_id(parent) if parent else None, url, timeout
 
     def emit(self, **event) -> None:
-        if not self.path:
-            return
+        line = json.dumps({"eventTime": datetime.now(timezone.utc).isoformat(), "parentRunId": self.parent} | event, default=str)
         try:
-            Path(self.path).parent.mkdir(parents=True, exist_ok=True)
-            with open(self.path, "a", encoding="utf-8") as f:
-                f.write(json.dumps({"eventTime": datetime.now(timezone.utc).isoformat(), "parentRunId": self.parent} | event, default=str) + "\n")
+            if self.path:
+                Path(self.path).parent.mkdir(parents=True, exist_ok=True)
+                with open(self.path, "a", encoding="utf-8") as f:
+                    f.write(line + "\n")
         except OSError:
             log.warning("lineage event not recorded", exc_info=True)
+        try:
+            if self.url:
+                urllib.request.urlopen(urllib.request.Request(self.url, line.encode(), {"Content-Type": "application/json"}), timeout=self.timeout).close()
+        except (OSError, ValueError):
+            log.warning("lineage event not sent", exc_info=True)
 
     @contextlib.contextmanager
     def run(self, job: str, inputs: tuple[str, ...] = (), outputs: tuple[str, ...] = ()) -> Iterator[dict]:

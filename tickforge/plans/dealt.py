@@ -20,6 +20,18 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
     return redelivery.surplus_rows(read(spark, d, "silver_quotes"))
 
 
+def p1_kept(spark: SparkSession, d: str) -> DataFrame:
+    """What the store holds after three deliveries by arrival, each message once."""
+    feed = read(spark, d, "silver_quotes")
+    store = redelivery.MessageStore(spark, shared_path(spark, "messages"))
+    last = feed.agg(F.max("ingest_ts")).first()[0]
+    age = F.lit(0) if last is None else F.coalesce(F.datediff(F.lit(last).cast("date"), F.col("ingest_ts").cast("date")), F.lit(0))
+    part = F.when(age > 60, 0).when(age > 30, 1).otherwise(2)
+    for k in range(3):
+        store.deliver(feed.where(part == k))
+    return store.winners().select("row_id")
+
+
 def _metrics(spark: SparkSession, d: str) -> DataFrame:
     """Metrics from the stored states of two deliveries: all arrivals but those of the last 30 days, and these."""
     loads = read(spark, d, "silver_backfill")
@@ -89,6 +101,12 @@ def _periods(spark: SparkSession, d: str) -> late.PeriodStore:
     return late.feed(written(redelivery.keep_first(_period_feed(spark, d)), "kept"), shared_path(spark, "periods"))
 
 
+def p4_scored(spark: SparkSession, d: str) -> DataFrame:
+    """Every finding with its field and standardised innovation."""
+    quotes = read(spark, d, "silver_quotes").select("row_id", "ticker", "trade_date", "event_ts", "ingest_ts", *anomalies.PRICES, "volume")
+    return anomalies.scored_readings(redelivery.keep_first(quotes))
+
+
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
     return _periods(spark, d).apart().select("row_id", "status")
 
@@ -127,7 +145,7 @@ def p7_corrected(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES = {
-    f.__name__: f for f in (p1_found, p2_found, p2_profile, p3_found, p3_loaded, p3_streamed, p3_delimited, p4_found, p6_found, p6_daily_as_of, p6_expired_report, p6_streamed, p7_rolling_totals, p7_corrected)
+    f.__name__: f for f in (p1_found, p1_kept, p2_found, p2_profile, p3_found, p3_loaded, p3_streamed, p3_delimited, p4_found, p4_scored, p6_found, p6_daily_as_of, p6_expired_report, p6_streamed, p7_rolling_totals, p7_corrected)
 }
 
 # -- SQL --------------------------------------------------------------------------------------------------------
@@ -242,6 +260,7 @@ SELECT ticker, day, {", ".join(out)} FROM g"""
 SQL = {
     "p1_found": f"""SELECT row_id FROM (SELECT row_id, row_number() OVER (PARTITION BY {_NORM}, trade_date, event_ts ORDER BY ingest_ts NULLS LAST, row_id) AS rn
 FROM silver_quotes) WHERE rn > 1""",
+    "p1_kept": f"WITH {_KEPT} SELECT row_id FROM kept",
     "p2_found": _P2_FOUND,
     "p2_profile": f"""WITH {_profile_sql(_COLUMNS + ("trade_date",))}
 SELECT batch_id, column_name, feed, n AS rows, null_rows / n AS null_share, distinct_values, median_value, null_rows, outside_rows FROM prof""",

@@ -2,12 +2,24 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
 from tickforge.operators.lineage import Recorder
 
 
+def retried(call: Callable[[], object], attempts: int = 5, wait: float = 1.0, on: tuple[type[BaseException], ...] = (OSError,), sleep: Callable[[float], None] = time.sleep) -> object:
+    """The result of ``call``; errors of the kinds ``on`` are tried again after twice the wait each time, the last is raised."""
+    for k in range(attempts):
+        try:
+            return call()
+        except on:
+            if k + 1 == attempts:
+                raise
+            sleep(wait * 2**k)
+
+
 @dataclass(frozen=True)
 class Stage:
     name: str
