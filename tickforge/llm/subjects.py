@@ -129,22 +129,21 @@ def propagate(documents: DataFrame, areas: DataFrame, seeds: DataFrame, rounds:
     held = whole.select("doc_id", "type", "n")
     types = whole.groupBy("type").agg(F.first("words").alias("words"))
     edges = written(types.select("type", F.explode(_phrases(F.col("words"))).alias("phrase")).select("type", F.xxhash64("phrase").alias("phrase")), "sentence-phrases")
-    # how often each phrase stands in the corpus, and the share of the corpus that seeds make up
-    sizes = held.groupBy("type").agg(F.sum("n").alias("n"))
-    everywhere = edges.join(sizes, "type").groupBy("phrase").agg(F.sum("n").alias("everywhere"))
-    part = held.join(clamped.select("doc_id"), "doc_id", "left_semi").agg(F.sum("n")).first()[0] or 0
-    seeded = part / (held.agg(F.sum("n")).first()[0] or 1)
+    # the share of the corpus that seeds make up
+    both = held.join(clamped, "doc_id", "left").agg(F.sum("n"), F.sum(F.when(F.col("subjects").isNotNull(), F.col("n")))).first()
+    seeded = (both[1] or 0) / (both[0] or 1)
     labels, said, found, before = clamped, None, None, 0
     for r in range(rounds):
         # 1. documents -> sentence types -> phrases
         hits = [F.sum(F.when(F.array_contains("subjects", s), F.col("n")).otherwise(F.lit(0))).alias(f"c_{i}") for i, s in enumerate(names)]
-        evidence = held.join(labels, "doc_id", "inner" if r == 0 else "left").groupBy("type").agg(F.sum("n").alias("total"), *hits)
+        counted = F.when(F.col("subjects").isNotNull(), F.col("n")).otherwise(0) if r == 0 else F.col("n")  # the first round counts in seeds
+        evidence = held.join(labels, "doc_id", "left").groupBy("type").agg(F.sum(counted).alias("total"), F.sum("n").alias("everywhere"), *hits)
         if said is not None:  # what the rest of a sentence says counts even where its document wasn't found
-            evidence = evidence.join(said, "type", "left").select("type", "total", *[F.when(F.col("subject") == s, F.col("total")).otherwise(F.col(f"c_{i}")).alias(f"c_{i}") for i, s in enumerate(names)])
-        tally = edges.join(evidence, "type").groupBy("phrase").agg(F.sum("total").alias("total"), *[F.sum(f"c_{i}").alias(f"c_{i}") for i in range(len(names))])
-        best = tally.where(F.col("total") >= MIN_OCCURRENCES).select("phrase", "total", _top_two(names).alias("t"))
+            evidence = evidence.join(said, "type", "left").select("type", "total", "everywhere", *[F.when(F.col("subject") == s, F.col("total")).otherwise(F.col(f"c_{i}")).alias(f"c_{i}") for i, s in enumerate(names)])
+        tally = edges.join(evidence, "type").groupBy("phrase").agg(F.sum("total").alias("total"), F.sum("everywhere").alias("everywhere"), *[F.sum(f"c_{i}").alias(f"c_{i}") for i in range(len(names))])
+        best = tally.where(F.col("total") >= MIN_OCCURRENCES).select("phrase", "total", "everywhere", _top_two(names).alias("t"))
         if r == 0:
-            best = best.join(everywhere, "phrase").where(F.col("t")[0]["v"] >= LIFT * seeded * F.col("everywhere"))
+            best = best.where(F.col("t")[0]["v"] >= LIFT * seeded * F.col("everywhere"))
             among = F.array(*[F.col(f"c_{i}") for i in range(len(names))])
             by_seeds = written(tally.where(F.col("total") >= VETO).select("phrase", F.col("total").alias("s_total"), among.alias("s_c")), "seed-phrases")
         else:
