@@ -2,24 +2,29 @@
 
 Query-side frames (terms of one question, one query vector, a ranked list of at most k hits) are small by construction
 and may be broadcast. Corpus-side frames never are. Sets of queries may grow with the corpus: they are scored block by
-block (``QUERY_BLOCK`` queries against ``CORPUS_BLOCK`` rows in one Arrow group), and of each block at most k hits a query
-go on."""
+block (``QUERY_BLOCK`` queries against ``CORPUS_BLOCK`` rows) where the corpus is read, see ``sets``, and of each block at
+most k hits a query go on."""
 
 from __future__ import annotations
 
 import math
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from tickforge.operators import sets
+from tickforge.workspace import written
 
 # Fixed values of the public BM25 variant and of rank fusion.
-K1, B, EPSILON, RRF_K = 1.5, 0.75, 0.25, 60
+K1, B, EPSILON, RRF_K = sets.K1, sets.B, 0.25, 60
 TOP_K, RERANK_N, EXCERPT = 30, 6, 400
-QUERY_BLOCK, CORPUS_BLOCK = 512, 4096
+QUERY_BLOCK, CORPUS_BLOCK = 128, 98304
+FILE_BLOCKS = 32  # blocks of queries in a file
 
 
 def tokens(text: Column) -> Column:
@@ -89,12 +94,6 @@ def dense_search(vectors: DataFrame, query: list[float], k: int = TOP_K, id_col:
     return ranked(scores, k)
 
 
-def _blocks(df: DataFrame, key: str, most: int) -> tuple[Column, int]:
-    """Block number of a row, and how many blocks there are: about ``most`` rows each."""
-    n = max(1, -(-df.count() // most))
-    return F.pmod(F.xxhash64(key), F.lit(n)).cast("int"), n
-
-
 def _best(query_ids: np.ndarray, ids: np.ndarray, scores: np.ndarray, k: int, positive_only: bool) -> pa.Table:
     """The k best of each line of ``scores`` (queries x ids), ties by id."""
     low = -np.round(scores, 6)
@@ -107,18 +106,6 @@ def _best(query_ids: np.ndarray, ids: np.ndarray, scores: np.ndarray, k: int, po
     return pa.table({"query_id": query_ids[q], "id": ids[d], "score": -low[q, d] + 0.0})
 
 
-def _block_search(corpus: DataFrame, queries: DataFrame, n_queries: DataFrame, score: Callable[[pa.Table, pa.Table], pa.Table], k: int) -> DataFrame:
-    """Every block of ``corpus`` (column id) meets every block of ``queries`` (column query_id, one or more rows a query;
-    ``n_queries``: one row a query); then the k best of each query get their ``rank``."""
-    (cb, nc), (qb, nq) = _blocks(corpus, "id", CORPUS_BLOCK), _blocks(n_queries, "query_id", QUERY_BLOCK)
-    c = corpus.select(cb.alias("cb"), F.explode(F.sequence(F.lit(0), F.lit(nq - 1))).alias("qb"), "*")
-    q = queries.select(F.explode(F.sequence(F.lit(0), F.lit(nc - 1))).alias("cb"), qb.alias("qb"), "*")
-    none = pa.table({"query_id": pa.array([], pa.int64()), "id": pa.array([], pa.int64()), "score": pa.array([], pa.float64())})
-    hits = c.groupBy("cb", "qb").cogroup(q.groupBy("cb", "qb")).applyInArrow(lambda a, b: score(a, b) if a.num_rows and b.num_rows else none, "query_id BIGINT, id BIGINT, score DOUBLE")
-    w = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "id")
-    return hits.withColumn("rank", F.row_number().over(w).cast("bigint")).where(F.col("rank") <= k)
-
-
 def _matrix(vectors: pa.ChunkedArray) -> np.ndarray:
     """Normalised vectors as lines; vectors of zeros stay."""
     v = vectors.combine_chunks()
@@ -133,52 +120,44 @@ def dense_search_set(vectors: DataFrame, queries: DataFrame, k: int = TOP_K, id_
     c = vectors.where(F.col(vec_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).alias("v"))
     q = queries.where(F.col(vec_col).isNotNull()).select(F.col("query_id").cast("long").alias("query_id"), F.col(vec_col).alias("v"))
 
-    def score(a: pa.Table, b: pa.Table) -> pa.Table:
-        return _best(b["query_id"].to_numpy(), a["id"].to_numpy(), _matrix(b["v"]) @ _matrix(a["v"]).T, k, False)
+    n, most = q.count(), QUERY_BLOCK
+
+    def prepare(a: pa.Table) -> Callable[[pa.Table], Iterator[pa.Table]]:
+        ids, m = a["id"].to_numpy(), _matrix(a["v"])
+
+        def search(b: pa.Table) -> Iterator[pa.Table]:
+            asked, v = b["query_id"].to_numpy(), _matrix(b["v"])
+            for x in range(0, asked.size, most):
+                few = [_best(asked[x : x + most], ids[y : y + sets.RANGE], v[x : x + most] @ m[y : y + sets.RANGE].T, k, False) for y in range(0, ids.size, sets.RANGE)]
+                hits = pa.concat_tables(few)
+                yield hits.take(pa.array(sets.best(hits["query_id"].to_numpy(), np.arange(hits.num_rows), hits["score"].to_numpy(), hits["id"].to_numpy(), k)))
 
-    return _block_search(c, q, q, score, k)
+        return search
+
+    return sets.search_set(sets.spread(c, "id", CORPUS_BLOCK), q, n, prepare, k, CORPUS_BLOCK, FILE_BLOCKS * most)
 
 
 def sparse_search_set(docs: DataFrame, questions: DataFrame, k: int = TOP_K, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """BM25 top-k of every question against every document, as ``sparse_search`` has it for one: query_id, id, score, rank.
     ``questions``: query_id, question."""
-    size = docs.agg(F.count("*").alias("N"), F.avg(F.coalesce(F.size(tokens(F.col(text_col))), F.lit(0))).alias("avgdl"))
-    weighted = document_frequencies(postings(docs, id_col, text_col)).crossJoin(F.broadcast(size)).withColumn("idf", F.ln(F.col("N") - F.col("df") + 0.5) - F.ln(F.col("df") + 0.5))
-    mean = weighted.agg(F.avg("idf").alias("mean_idf"))
-    worth = weighted.crossJoin(F.broadcast(mean)).select("term", "avgdl", F.when(F.col("idf") < 0, EPSILON * F.col("mean_idf")).otherwise(F.col("idf")).alias("w"))  # both are one row
-    asked = postings(questions, "query_id", "question").join(worth, "term").select(F.col("id").cast("long").alias("query_id"), "term", (F.col("w") * F.col("tf")).alias("w"), "avgdl")
-    corpus = docs.select(F.col(id_col).cast("long").alias("id"), tokens(F.col(text_col)).alias("ts")).where(F.size("ts") > 0)
-
-    def score(a: pa.Table, b: pa.Table) -> pa.Table:
-        ts = a["ts"].combine_chunks()
-        terms = pc.unique(b["term"])
-        lengths = pc.list_value_length(ts).to_numpy(zero_copy_only=False).astype(np.float64)
-        doc, term = pc.list_parent_indices(ts).to_numpy(zero_copy_only=False), pc.index_in(ts.flatten(), terms)
-        hit = pc.is_valid(term).to_numpy(zero_copy_only=False)
-        cell, tf = np.unique(term.fill_null(0).to_numpy(zero_copy_only=False)[hit].astype(np.int64) * a.num_rows + doc[hit], return_counts=True)
-        term, doc = np.divmod(cell, a.num_rows)  # in order of terms
-        part = tf * (K1 + 1) / (tf + K1 * (1 - B + B * lengths[doc] / b["avgdl"][0].as_py()))
-        query_ids, query = np.unique(b["query_id"].to_numpy(), return_inverse=True)
-        of = pc.index_in(b["term"], terms).to_numpy().astype(np.int64)
-        order = np.argsort(of, kind="stable")
-        query, weight = query[order], b["w"].to_numpy()[order]
-        q_at, d_at = (np.searchsorted(x, np.arange(len(terms) + 1)) for x in (of[order], term))
-        work = np.diff(q_at) * np.diff(d_at)
-        scores = np.zeros((query_ids.size, a.num_rows))
-        common = work * 16 > scores.size
-        for t in np.flatnonzero(~common & (work > 0)):
-            qs, ds = slice(q_at[t], q_at[t + 1]), slice(d_at[t], d_at[t + 1])
-            scores[np.ix_(query[qs], doc[ds])] += np.outer(weight[qs], part[ds])
-        frequent = np.flatnonzero(common)
-        for some in np.split(frequent, range(512, frequent.size, 512)):  # one product for up to 512 frequent terms
-            left, right = np.zeros((query_ids.size, some.size)), np.zeros((some.size, a.num_rows))
-            for i, t in enumerate(some):
-                left[query[q_at[t] : q_at[t + 1]], i] = weight[q_at[t] : q_at[t + 1]]
-                right[i, doc[d_at[t] : d_at[t + 1]]] = part[d_at[t] : d_at[t + 1]]
-            scores += left @ right
-        return _best(query_ids, a["id"].to_numpy(), scores, k, True)
-
-    return _block_search(corpus, asked, questions, score, k)
+    counts = written(sets.term_counts(docs.select(F.lower(text_col).alias("t"))), "terms")
+    n = docs.count()
+    words = counts.agg(F.sum("cf")).first()[0] or 0  # one row
+    idf = F.ln(F.lit(n) - F.col("df") + 0.5) - F.ln(F.col("df") + 0.5)
+    mean = counts.agg(F.avg(idf)).first()[0]  # one row
+    return sparse_search_weighted(docs, questions, counts.select("term", bm25_weight(idf, mean).alias("w")), words / n if n else 0.0, k, id_col, text_col)
+
+
+def bm25_weight(idf: Column, mean: float | None) -> Column:
+    return F.when(idf < 0, EPSILON * F.lit(mean)).otherwise(idf)
+
+
+def sparse_search_weighted(docs: DataFrame, questions: DataFrame, worth: DataFrame, avgdl: float, k: int, id_col: str, text_col: str) -> DataFrame:
+    """``sparse_search_set`` with the weights of the terms (term, w) and the mean length of documents given."""
+    asked = postings(questions, "query_id", "question").join(worth, "term").select(F.col("id").cast("long").alias("query_id"), "term", (F.col("w") * F.col("tf")).alias("w"))
+    corpus = sets.spread(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("t")), "id", CORPUS_BLOCK).where(F.col("t").isNotNull()).select("id", F.lower("t").alias("t"))
+    most = QUERY_BLOCK
+    return sets.search_set(corpus, asked, questions.count(), lambda a: sets.TermBlock(a, avgdl, k, most), k, CORPUS_BLOCK, FILE_BLOCKS * most)
 
 
 def fuse(rankings: dict[str, DataFrame], k: int = RRF_K, by: tuple[str, ...] = ()) -> DataFrame:
@@ -262,11 +241,30 @@ def index_sync(chunks: DataFrame, store: DataFrame, key: str = "chunk_id") -> Da
 
 
 def hashing_vectors(docs: DataFrame, id_col: str, text_col: str, dims: int = 64) -> DataFrame:
-    """Offline default embedder: signed hashing of tokens into ``dims`` buckets, normalised. vec_id, embedding."""
-    h = docs.select(F.col(id_col).alias("vec_id"), F.explode(tokens(F.col(text_col))).alias("t")).select("vec_id", F.pmod(F.xxhash64("t"), F.lit(dims)).cast("int").alias("i"), F.when(F.xxhash64(F.lit(1), "t") % 2 == 0, 1.0).otherwise(-1.0).alias("s"))
-    per = h.groupBy("vec_id", "i").agg(F.sum("s").alias("x")).groupBy("vec_id").agg(F.map_from_entries(F.collect_list(F.struct("i", "x"))).alias("m"))
-    v = F.transform(F.sequence(F.lit(0), F.lit(dims - 1)), lambda i: F.coalesce(F.try_element_at("m", i), F.lit(0.0)))
-    return per.select("vec_id", normalised(v).alias("embedding"))
+    """Offline default embedder: signed hashing of tokens into ``dims`` buckets, normalised. vec_id, embedding; texts without
+    tokens have none."""
+    every = hashed_rows(docs.select(F.col(id_col).alias("vec_id"), F.col(text_col).alias("__text")), "__text", dims)
+    return every.where(F.col("embedding").isNotNull()).select("vec_id", "embedding")
+
+
+def hashed_rows(docs: DataFrame, text_col: str, dims: int = 64) -> DataFrame:
+    """All columns and ``embedding``, made row by row; null for texts without tokens."""
+    signed = F.transform(tokens(F.col(text_col)), lambda t: ((F.pmod(F.xxhash64(t), F.lit(dims)) + 1) * F.when(F.xxhash64(F.lit(1), t) % 2 == 0, 1).otherwise(-1)).cast("int"))
+    src = docs.withColumn("__h", signed)
+    keep = len(docs.columns)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            h = b.column(keep)
+            code, row = h.flatten().to_numpy(zero_copy_only=False), pc.list_parent_indices(h)
+            x = np.bincount(row.to_numpy(zero_copy_only=False) * dims + np.abs(code) - 1, np.sign(code), minlength=b.num_rows * dims).reshape(-1, dims)
+            length = np.sqrt((x * x).sum(axis=1, keepdims=True))
+            v = pa.array((x / np.where(length > 0, length, 1.0)).reshape(-1))
+            none = pc.fill_null(pc.list_value_length(h), 0).to_numpy(zero_copy_only=False) == 0
+            at = np.append(np.arange(b.num_rows) * dims, b.num_rows * dims).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([*b.columns[:keep], pa.ListArray.from_arrays(pa.array(at), v, mask=pa.array(none))], [*b.schema.names[:keep], "embedding"])
+
+    return src.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField("embedding", T.ArrayType(T.DoubleType()))]))
 
 
 def extractive_answer(spark: SparkSession, query: str, passages: DataFrame) -> DataFrame:
