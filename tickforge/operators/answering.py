@@ -1,7 +1,7 @@
 """A stored index of chunks, and the chain from questions to cited answers over it.
 
 ``ChunkIndex`` is one versioned table: chunks with their vectors, in buckets by chunk id, and beside them, in the same
-commit, their postings in buckets by term. A build adds what is new, deletes what is no longer there and embeds nothing
+commit, how many chunks have each term, in buckets by term. A build adds what is new, deletes what is no longer there and embeds nothing
 else. Questions come as a set: fused dense and sparse rankings, reranked passages, answers with checked citations, and an
 audit row per question. Embedder, scorer and generator are plug-ins (``Plugins``) with offline defaults.
 
@@ -18,14 +18,14 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tickforge.operators import retrieval, text
+from tickforge.operators import retrieval, sets, text
 from tickforge.operators.tables import VersionedTable
 from tickforge.workspace import written
 
 # What a refusal says, and the words by which one is known.
 REFUSAL = "The passages do not contain enough information to answer."
 REFUSED_BY = "do not contain enough information"
-POSTINGS = T.StructType([T.StructField("id", T.StringType()), T.StructField("term", T.StringType()), T.StructField("tf", T.LongType()), T.StructField("length", T.IntegerType()), T.StructField("__bucket", T.StringType())])
+TERMS = T.StructType([T.StructField("term", T.StringType()), T.StructField("df", T.LongType()), T.StructField("cf", T.LongType()), T.StructField("__bucket", T.StringType())])
 
 
 class PluginUnavailable(RuntimeError):
@@ -33,8 +33,8 @@ class PluginUnavailable(RuntimeError):
 
 
 def hashed(texts: DataFrame) -> DataFrame:
-    """Offline embedder. ``texts``: id, text; result: id, embedding."""
-    return retrieval.hashing_vectors(texts, "id", "text").withColumnRenamed("vec_id", "id")
+    """Offline embedder. ``texts``: id, text and any others; adds ``embedding``, null for texts without tokens."""
+    return retrieval.hashed_rows(texts, "text")
 
 
 def overlap(pairs: DataFrame) -> DataFrame:
@@ -54,7 +54,8 @@ def extracts(prompts: DataFrame) -> DataFrame:
 
 @dataclass(frozen=True)
 class Plugins:
-    """``embed`` gets (id, text) and adds ``embedding``, ``score`` gets (question, text) and adds ``rerank_score``, ``generate``
+    """``embed`` gets (id, text) with columns of the index beside them and adds ``embedding`` (one that gives back less than it
+    gets is joined by id), ``score`` gets (question, text) and adds ``rerank_score``, ``generate``
     gets (question, passages, block) and adds ``answer``: all on DataFrames. ``query_prefix`` goes before questions only.
     ``ready`` returns None or why the plug-ins can't be used."""
 
@@ -84,7 +85,8 @@ class ChunkIndex:
         """Bring the index to the chunks of ``sections`` (doc_id, source_file, item, text, and what a label takes)."""
         label = text.citation_label(*[F.col(c) for c in ("ticker", "company", "form_type", "fiscal_year", "item", "section_title")])
         made = text.chunks(sections).select("chunk_id", "doc_id", label.alias("label"), F.col("body").alias("text"))
-        now = written(made.groupBy("chunk_id").agg(F.min("doc_id").alias("doc_id"), F.min_by("label", "doc_id").alias("label"), F.min_by("text", "doc_id").alias("text")).withColumn("__bucket", self._bucket("chunk_id")), "chunks")
+        once = made.groupBy("chunk_id").agg(F.min("doc_id").alias("doc_id"), F.min_by("label", "doc_id").alias("label"), F.min_by("text", "doc_id").alias("text"))
+        now = written(once.withColumn("__bucket", self._bucket("chunk_id")).hint("rebalance", F.col("__bucket")), "chunks")
         if now.isEmpty():
             raise ValueError("no chunk to index")
         schema = T.StructType([*now.schema.fields, T.StructField("embedding", T.ArrayType(T.DoubleType()))])
@@ -92,27 +94,29 @@ class ChunkIndex:
             self.table.create(schema, partition_by="__bucket")
         base = self.table.manifest()
         old = self.table.read(base["version"]) if not reset else self.spark.createDataFrame([], self.table.schema)
-        pending = now.join(old.select("chunk_id"), "chunk_id", "left_anti")
-        vectors = self.plugins.check().embed(pending.select(F.col("chunk_id").alias("id"), "text"))
-        embedded = pending.join(vectors, F.col("chunk_id") == F.col("id"), "left").select(*now.columns, "embedding")
+        fresh = reset or not base["parts"]
+        pending = now if fresh else now.join(old.select("chunk_id"), "chunk_id", "left_anti")
+        vectors = self.plugins.check().embed(pending.withColumnRenamed("chunk_id", "id"))
+        if set(now.columns) - {"chunk_id"} <= set(vectors.columns):
+            embedded = vectors.withColumnRenamed("id", "chunk_id").select(*now.columns, "embedding")
+        else:
+            embedded = pending.join(vectors.select("id", "embedding"), F.col("chunk_id") == F.col("id"), "left").select(*now.columns, "embedding")
         stale = old.join(now.select("chunk_id"), "chunk_id", "left_anti")
-        hit = sorted(r[0] for r in stale.select("__bucket").distinct().collect())  # names of buckets
-        added = self.table._write(embedded, "__bucket")
-        counts = {"embedded": self.table._open(added, schema).count(), "removed": stale.count()}
-        counts["reused"] = 0 if reset else old.count() - counts["removed"]
-        if hit and not reset:
+        hit = [] if fresh else sorted(r[0] for r in stale.select("__bucket").distinct().collect())  # names of buckets
+        added = self.table._write(embedded, "__bucket", rebalance=False)  # ``now`` is in buckets already
+        counts = {"embedded": self.table._open(added, schema).count(), "removed": 0 if fresh else stale.count()}
+        counts["reused"] = 0 if fresh else old.count() - counts["removed"]
+        if hit:
             kept = self.table._write(old.where(F.col("__bucket").isin(hit)).join(now.select("chunk_id"), "chunk_id", "left_semi").select([f.name for f in schema]), "__bucket")
             added = {p: added.get(p, []) + kept.get(p, []) for p in {*added, *kept}}
-        whole = reset or counts["removed"] > 0  # postings of deleted chunks stand in any bucket
-        source = now if whole else pending
-        posts = retrieval.postings(source.select(F.col("chunk_id").alias("doc_id"), "text")).withColumn("length", F.col("length").cast("int")).withColumn("__bucket", self._bucket("term"))
-        files = self.table._write(posts.select([f.name for f in POSTINGS]), "__bucket")
+        whole = reset or counts["removed"] > 0  # counts of deleted chunks stand in any bucket
+        words = sets.term_counts((now if whole else pending).select(F.lower("text").alias("t"))).withColumn("__bucket", self._bucket("term"))
+        files = self.table._write(words.select([f.name for f in TERMS]), "__bucket")
         n = {"chunks": counts["embedded"] + counts["reused"]}
-        every = self.table._open(files if whole else _joined(base.get("side", {}).get("postings", {}), files), POSTINGS)
-        idf = F.ln(F.lit(n["chunks"]) - F.col("df") + 0.5) - F.ln(F.col("df") + 0.5)
-        stats = retrieval.document_frequencies(every).agg(F.avg(idf).alias("mean_idf"), F.sum("cf").alias("words")).first()  # one row
+        every = _terms(self.table._open(files if whole else _joined(base.get("side", {}).get("terms", {}), files), TERMS))
+        stats = every.agg(F.avg(_idf(n["chunks"])).alias("mean_idf"), F.sum("cf").alias("words")).first()  # one row
         metrics = counts | n | {"mean_idf": stats["mean_idf"], "avgdl": (stats["words"] or 0) / n["chunks"]}
-        self.table.put(base, "INDEX", metrics, added=added, dropped=None if reset else hit, side={"postings": (files, None if whole else ())})
+        self.table.put(base, "INDEX", metrics, added=added, dropped=None if reset else hit, side={"terms": (files, None if whole else ())})
         return counts
 
     def passages(self) -> DataFrame:
@@ -128,18 +132,21 @@ class ChunkIndex:
         return hits.join(named.select("chunk_id", "vec_id"), F.col("id") == F.col("vec_id")).select("query_id", F.col("chunk_id").alias("id"), "score", "rank")
 
     def sparse(self, questions: DataFrame, k: int = retrieval.TOP_K) -> DataFrame:
-        """BM25 from the stored postings of the asked terms: query_id, id, score, rank."""
+        """BM25 over the stored chunks by the stored counts of terms: query_id, id, score, rank."""
         m = self.table.manifest()
-        asked = written(retrieval.postings(questions, "query_id", "question").select(F.col("id").alias("query_id"), "term", F.col("tf").alias("asked")), "asked")
-        buckets = [r[0] for r in asked.select(self._bucket("term")).distinct().collect()]  # at most BUCKETS
-        posts = self.table.read_side("postings", POSTINGS, buckets, m["version"]).join(asked.select("term").distinct(), "term", "left_semi")
-        df = posts.groupBy("term").agg(F.count("*").alias("df"))
         n = m["metrics"]
-        idf = F.ln(F.lit(n["chunks"]) - F.col("df") + 0.5) - F.ln(F.col("df") + 0.5)
-        worth = df.select("term", F.when(idf < 0, retrieval.EPSILON * F.lit(n["mean_idf"])).otherwise(idf).alias("w"))
-        part = F.col("tf") * (retrieval.K1 + 1) / (F.col("tf") + retrieval.K1 * (1 - retrieval.B + retrieval.B * F.col("length") / F.lit(n["avgdl"])))
-        scores = asked.join(worth, "term").join(posts, "term").groupBy("query_id", "id").agg(F.round(F.sum(F.col("w") * F.col("asked") * part), 6).alias("score"))
-        return retrieval.best_of_each(scores.where(F.col("score") > 0), k)
+        worth = _terms(self.table.read_side("terms", TERMS, version=m["version"])).select("term", retrieval.bm25_weight(_idf(n["chunks"]), n["mean_idf"]).alias("w"))
+        chunks = self.table.read(m["version"]).select("chunk_id", "text")
+        return retrieval.sparse_search_weighted(chunks, questions, worth, n["avgdl"], k, "chunk_id", "text")
+
+
+def _terms(counted: DataFrame) -> DataFrame:
+    """term, df, cf over all builds."""
+    return counted.groupBy("term").agg(F.sum("df").alias("df"), F.sum("cf").alias("cf"))
+
+
+def _idf(chunks: int) -> Column:
+    return F.ln(F.lit(chunks) - F.col("df") + 0.5) - F.ln(F.col("df") + 0.5)
 
 
 def _joined(a: dict, b: dict) -> dict:

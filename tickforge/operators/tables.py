@@ -137,14 +137,16 @@ class VersionedTable:
 
     # -- writing ------------------------------------------------------------------------------------------------
 
-    def _write(self, df: DataFrame, partition_by: str | None) -> dict[str, list[str]]:
+    def _write(self, df: DataFrame, partition_by: str | None, rebalance: bool = True) -> dict[str, list[str]]:
+        """``rebalance=False``: the rows of a partition stand together already."""
         commit = uuid.uuid4().hex[:16]
         if partition_by is None:
             df.write.option("compression", "zstd").parquet(f"{self.path}/data/{commit}")
             return {ALL: [commit]}
         key = F.coalesce(F.col(f"`{partition_by}`").cast("string"), F.lit("__null__"))
         # rebalance puts a partition's rows together and splits those that are too large for one task
-        df.withColumn("__p", key).hint("rebalance", F.col("__p")).write.option("compression", "zstd").partitionBy("__p").parquet(f"{self.path}/data/{commit}")
+        df = df.withColumn("__p", key)
+        (df.hint("rebalance", F.col("__p")) if rebalance else df).write.option("compression", "zstd").partitionBy("__p").parquet(f"{self.path}/data/{commit}")
         unescape = self.files.jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.unescapePathName
         return {unescape(n[4:]): [f"{commit}/{n}"] for n in self.files.names(f"{self.path}/data/{commit}") if n.startswith("__p=")}
 
