@@ -97,3 +97,34 @@ def test_neither_side_is_copied_for_the_blocks_of_the_other(spark, monkeypatch):
     vectors = spark.createDataFrame([(i, [float(i % 7), 1.0]) for i in range(400)], "vec_id BIGINT, embedding ARRAY<DOUBLE>").repartition(4)
     some = vectors.where("vec_id % 20 = 0").withColumnRenamed("vec_id", "query_id")
     assert shuffled(retrieval.dense_search_set(vectors, some, 3)) <= 8 * 20 * 3 + 400
+
+
+def test_reranking_moves_lists_and_not_texts(spark, monkeypatch):
+    """Before, all texts met the hits in one shuffle and went on with them to the questions in another."""
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        docs = spark.createDataFrame(texts(400), "id BIGINT, text STRING").coalesce(2).persist()
+        docs.count()
+        fused = spark.createDataFrame([(q, q * 50 + i, i + 1) for q in range(3) for i in range(4)] + [(3, 400, 1), (3, 9999, 2)], "query_id BIGINT, id BIGINT, final_rank BIGINT")
+        asked = spark.createDataFrame([(0, "the of Zinc"), (1, "w1 w2"), (3, "the")], "query_id BIGINT, question STRING")
+        best = retrieval.rerank_set(fused, docs, asked, 4)
+        assert shuffled(best) < 60
+        got = {(r["query_id"], r["id"]): r["rerank_score"] for r in best.collect()}
+        bags = {i: set(re.findall("[a-z0-9]+", (t or "").lower())) for i, t in texts(400)}
+        ask = {0: {"the", "of", "zinc"}, 1: {"w1", "w2"}, 2: set(), 3: {"the"}}
+        assert got == {(q, i): pytest.approx(len(ask[q] & bags[i]) / max(1, len(ask[q])), abs=1e-6) for q, i in [(q, q * 50 + i) for q in range(3) for i in range(4)] + [(3, 400)]}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+@pytest.mark.parametrize("name", ["rrf_set_fused", "rrf_set_small_k"])
+def test_registered_fusions_move_hits_only(spark, monkeypatch, tmp_path, name):
+    import __spark_entry__ as e
+
+    monkeypatch.setattr(retrieval, "CORPUS_BLOCK", 100)
+    monkeypatch.setattr(retrieval, "QUERY_BLOCK", 2)
+    spark.createDataFrame(texts(1000), "doc_id BIGINT, text STRING").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(i, [float(i % 7), float(i % 11), 1.0]) for i in range(1000)], "vec_id BIGINT, embedding ARRAY<DOUBLE>").coalesce(1).write.parquet(f"{tmp_path}/embeddings.parquet")
+    # 21 questions and 20 vectors against at most 13 blocks each, 2 x 1,005 rows spread from one file, and the fused lists
+    assert shuffled(e.queries()[name](spark, str(tmp_path))) <= 13 * 30 * 41 + 2 * 1005 + 2 * 30 * 41

@@ -195,10 +195,15 @@ def rerank_set(fused: DataFrame, texts: DataFrame, questions: DataFrame, n: int
     """``rerank`` by token overlap for a set of queries: query_id, id, before, rerank_score, final_rank. ``questions``:
     query_id, question; a query without words scores 0 everywhere and keeps its order."""
     q = questions.select("query_id", F.array_distinct(tokens(F.col("question"))).alias("asked"))
-    j = fused.select("query_id", "id", F.col("final_rank").alias("before")).join(texts, "id").join(q, "query_id", "left")
-    share = F.round(F.size(F.array_intersect("asked", tokens(F.col("text")))) / F.greatest(F.lit(1.0), F.size("asked").cast("double")), 6)
+    hits = F.sort_array(F.collect_list(F.struct(F.col("final_rank").alias("before"), "id")))  # two lists of at most k hits
+    lists = fused.groupBy("query_id").agg(hits.alias("hits")).join(q, "query_id", "left").select("query_id", F.col("hits.id").alias("ids"), F.col("hits.before").alias("places"), F.coalesce("asked", F.array().cast("array<string>")).alias("asked"))
+    docs = sets.spread(texts.select("id", F.col("text").alias("t")), "id", CORPUS_BLOCK).select("id", F.lower("t").alias("t"))
+    kinds = f"query_id {fused.schema['query_id'].dataType.simpleString()}, id {fused.schema['id'].dataType.simpleString()}, before BIGINT, common INT"
+    found = sets.each_block(docs, lists, lists.count(), sets.shared_words, kinds, CORPUS_BLOCK, FILE_BLOCKS * QUERY_BLOCK)
+    size = q.select("query_id", F.greatest(F.lit(1.0), F.size("asked").cast("double")).alias("asked"))
+    share = F.round(F.col("common") / F.coalesce("asked", F.lit(1.0)), 6)
     w = Window.partitionBy("query_id").orderBy(F.col("rerank_score").desc(), "before")
-    return j.select("query_id", "id", "before", F.when(F.col("asked").isNotNull() & F.col("text").isNotNull(), share).otherwise(0.0).alias("rerank_score")).withColumn("final_rank", F.row_number().over(w).cast("bigint")).where(F.col("final_rank") <= n)
+    return found.join(size, "query_id", "left").select("query_id", "id", "before", share.alias("rerank_score")).withColumn("final_rank", F.row_number().over(w).cast("bigint")).where(F.col("final_rank") <= n)
 
 
 def moves(fused: DataFrame, reranked: DataFrame, n: int = RERANK_N, by: tuple[str, ...] = ()) -> DataFrame:

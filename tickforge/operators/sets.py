@@ -48,10 +48,9 @@ def _uri(df: DataFrame, path: str) -> str:
     return "file://" + full.removeprefix("file:") if full.startswith("file:/") and not full.startswith("file://") else full
 
 
-def search_set(corpus: DataFrame, queries: DataFrame, n_queries: int, prepare: Callable[[pa.Table], Callable[[pa.Table], Iterator[pa.Table]]], k: int, block_rows: int, file_queries: int) -> DataFrame:
-    """query_id, id, score, rank: the k best of each query. ``corpus``: id and what ``prepare`` takes; it gets a block of
-    rows and returns a function from a table of queries to tables of query_id, id, score with the k best of the block.
-    ``queries``: query_id, one or more rows a query."""
+def each_block(corpus: DataFrame, queries: DataFrame, n_queries: int, prepare: Callable[[pa.Table], Callable[[pa.Table], Iterator[pa.Table]]], out: str, block_rows: int, file_queries: int) -> DataFrame:
+    """``prepare`` gets a block of rows of ``corpus`` and returns a function from a table of queries to tables of columns
+    ``out``. ``queries``: query_id, one or more rows a query; every block meets all of them, a file at a time."""
     path = shared_path(corpus.sparkSession, "queries")
     queries.repartition(max(1, -(-n_queries // file_queries)), "query_id").write.option("compression", "zstd").parquet(path)
     uri = _uri(corpus, path)
@@ -81,7 +80,13 @@ def search_set(corpus: DataFrame, queries: DataFrame, n_queries: int, prepare: C
         if held:
             yield from block(held)
 
-    hits = corpus.mapInArrow(run, f"query_id BIGINT, id {corpus.schema['id'].dataType.simpleString()}, score DOUBLE")
+    return corpus.mapInArrow(run, out)
+
+
+def search_set(corpus: DataFrame, queries: DataFrame, n_queries: int, prepare: Callable[[pa.Table], Callable[[pa.Table], Iterator[pa.Table]]], k: int, block_rows: int, file_queries: int) -> DataFrame:
+    """query_id, id, score, rank: the k best of each query. ``corpus``: id and what ``prepare`` takes; of each block it gives
+    the k best as query_id, id, score."""
+    hits = each_block(corpus, queries, n_queries, prepare, f"query_id BIGINT, id {corpus.schema['id'].dataType.simpleString()}, score DOUBLE", block_rows, file_queries)
     w = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "id")
     return hits.withColumn("rank", F.row_number().over(w).cast("bigint")).where(F.col("rank") <= k)
 
@@ -228,6 +233,35 @@ class TermBlock:
         return q[some], d[some], exact[some]
 
 
+def shared_words(docs: pa.Table) -> Callable[[pa.Table], Iterator[pa.Table]]:
+    """For a block of documents (id, lower-case text) a function from lists of hits (query_id, ids, places, asked: distinct
+    words) to query_id, id, before, common: how many of the words a hit in this block has."""
+    ids = docs["id"].combine_chunks()
+    every, length = zip(*(words(docs["t"].combine_chunks().slice(a, RANGE)) for a in range(0, len(docs), RANGE)))
+    coded, length = pa.chunked_array(every).dictionary_encode().combine_chunks(), np.concatenate(length)
+    terms, code, begin = coded.dictionary, coded.indices.to_numpy(), np.append(0, np.cumsum(length))
+
+    def count(lists: pa.Table) -> Iterator[pa.Table]:
+        of, places, asked = (lists[c].combine_chunks() for c in ("ids", "places", "asked"))
+        row = pc.index_in(of.flatten(), ids)
+        here = np.flatnonzero(pc.is_valid(row).to_numpy(zero_copy_only=False))
+        line = pc.list_parent_indices(of).to_numpy(zero_copy_only=False)[here]
+        row = row.take(pa.array(here)).to_numpy(zero_copy_only=False)
+        word = pc.index_in(asked.flatten(), terms)
+        known = pc.is_valid(word).to_numpy(zero_copy_only=False)
+        word, by = word.drop_null().to_numpy(zero_copy_only=False), pc.list_parent_indices(asked).to_numpy(zero_copy_only=False)[known]
+        at, flag, common = np.searchsorted(by, np.arange(len(lists) + 1)), np.zeros(len(terms), bool), np.zeros(len(here), np.int32)
+        for i, (x, d) in enumerate(zip(line.tolist(), row.tolist())):
+            own = word[at[x] : at[x + 1]]
+            flag[own] = True
+            found = code[begin[d] : begin[d + 1]]
+            common[i] = np.unique(found[flag[found]]).size
+            flag[own] = False
+        yield pa.table({"query_id": lists["query_id"].take(pa.array(line)), "id": ids.take(pa.array(row)), "before": places.flatten().take(pa.array(here)), "common": pa.array(common)})
+
+    return count
+
+
 def term_counts(lower: DataFrame) -> DataFrame:
     """term, df, cf of documents (column t, their lower-case text), counted where they are read."""
 
